@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import FusionError, SpecError
-from weftline.functions.casting import is_fractional, is_integral
+from weftline.functions.casting import is_fractional, is_integral, soft_cast
 from weftline.functions.columns import find_name, quoted, same_name
 from weftline.operators import skew
 from weftline.streaming.legality import check_join, check_union
@@ -73,29 +73,73 @@ def fuse_columns(
 
     inputs = [_with_keys(workspace[name], keys, name) for name in datasets]
     hot = skew.HotKeys([{} for _ in inputs])
-    if skew_mode == "salt" and _needs_salting(workspace, len(inputs), how):
-        if skew.comparable(inputs, keys):
-            hot = skew.find_hot_keys(inputs, keys, hot_rows)
+    if skew_mode == "salt" and skew.comparable(inputs, keys):
+        checked = _unsplittable(workspace, len(inputs), how)
+        if checked:
+            hot = skew.find_hot_keys(inputs, keys, hot_rows, checked)
 
     fused, counts = inputs[0], hot.counts[0]
     for right, name, right_counts in zip(inputs[1:], datasets[1:], hot.counts[1:]):
         check_join(fused, right, keys, how)
         right = _without_clashes(fused, right, keys, name)
+        left, right, mixed = _with_typed_keys(fused, right, keys)
         if hot:
-            fused = skew.salted_join(fused, right, keys, how, counts, right_counts, hot_rows)
+            fused = skew.salted_join(left, right, keys, how, counts, right_counts, hot_rows)
             counts = skew.joined_counts(counts, right_counts, how)
         else:
-            fused = fused.join(right, on=keys, how=how)
+            fused = left.join(right, on=keys, how=how)
+        fused = _with_given_keys(fused, mixed, how)
     return fused
 
 
-def _needs_salting(workspace: Workspace, inputs: int, how: str) -> bool:
-    """Adaptive execution splits the hot keys of a single inner join on its own."""
-    if inputs > 2 or how != "inner":
-        return True
+def _unsplittable(workspace: Workspace, inputs: int, how: str) -> list[int]:
+    """Inputs whose hot keys adaptive execution cannot split at runtime.
+
+    In a single join it splits both sides of an inner join and the kept side of a left or right
+    join. In a chain on one key it splits nothing, since the partitioning is used again.
+    """
     conf = workspace.spark.conf
     adaptive = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    return any(conf.get(key) != "true" for key in adaptive)
+    if inputs > 2 or any(conf.get(key) != "true" for key in adaptive):
+        return list(range(inputs))
+    return {"inner": [], "left": [1], "right": [0], "outer": [0, 1]}[how]
+
+
+_GIVEN = ("__given_left_", "__given_right_")
+
+
+def _with_typed_keys(
+    left: DataFrame, right: DataFrame, keys: list[str]
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Where a key is text on one side only, compare it as the other side's type.
+
+    Text that does not parse matches nothing, with ANSI mode on or off. The key columns as
+    given travel along under other names.
+    """
+    sides = [left, right]
+    types = [{f.name: f.dataType for f in df.schema} for df in sides]
+    mixed = []
+    for key in keys:
+        text = [isinstance(t[key], T.StringType) for t in types]
+        if text[0] == text[1]:
+            continue
+        mixed.append(key)
+        for i in (0, 1):
+            given = F.col(quoted(key))
+            typed = soft_cast(given, types[i][key], types[1 - i][key]) if text[i] else given
+            sides[i] = sides[i].withColumns({_GIVEN[i] + key: given, key: typed})
+    return sides[0], sides[1], mixed
+
+
+def _with_given_keys(fused: DataFrame, mixed: list[str], how: str) -> DataFrame:
+    for key in mixed:
+        left, right = (F.col(quoted(prefix + key)) for prefix in _GIVEN)
+        if how == "outer":
+            given = F.coalesce(left.cast("string"), right.cast("string"))
+        else:
+            given = right if how == "right" else left
+        fused = fused.withColumn(key, given).drop(*(prefix + key for prefix in _GIVEN))
+    return fused
 
 
 def _with_keys(df: DataFrame, keys: list[str], dataset: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.errors import SpecError
 from weftline.functions.columns import quoted
 from weftline.workspace import Workspace, view_name
 
@@ -15,6 +16,8 @@ QUERY_ROWS = 60
 
 def run_sql(workspace: Workspace, text: str | None = None, dataset: str | None = None):
     """Any Spark SQL over the ``view_<name>`` views; by default everything of one dataset."""
+    if text is None and dataset is None:
+        raise SpecError("give SQL text or a dataset name")
     if not workspace.views:
         for name, df in workspace.current.items():
             df.createOrReplaceTempView(view_name(name))

@@ -26,6 +26,7 @@ from weftline.functions.casting import (
 )
 from weftline.functions.columns import column, find_name, quoted, require_name, type_of
 from weftline.functions.predicates import predicate
+from weftline.scratch import new_folder
 from weftline.workspace import Workspace
 
 
@@ -179,10 +180,21 @@ def save(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
     (name,) = _need(args, "save_as")
     if context.workspace is None:
         raise SpecError("Save needs a workspace")
+    if args.get("materialize"):
+        df = _written(df, name)
     context.workspace.save(name, df, overwrite=bool(args.get("overwrite")))
     return df
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write a snapshot that several targets build on once, instead of computing it for each."""
+    if df.isStreaming:
+        raise SpecError("a stream cannot be materialized")
+    path = new_folder(df.sparkSession, f"save-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 OPERATIONS: dict[str, Operator] = {
     "Cast": cast,
     "Rename": rename,

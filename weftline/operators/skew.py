@@ -110,12 +110,14 @@ def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[s
     return found
 
 
-def find_hot_keys(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> HotKeys:
-    """Exact counts, in every input, of the keys that are hot in any input.
+def find_hot_keys(
+    inputs: list[DataFrame], keys: list[str], hot_rows: int, checked: list[int]
+) -> HotKeys:
+    """Exact counts, in every input, of the keys that are hot in any checked input.
 
     At most ``HOT_SHARE`` keys per input can be hot, so the result is small whatever the data.
     """
-    hot = sorted(set().union(*_sketched(inputs, keys, hot_rows)))
+    hot = sorted(set().union(*_sketched([inputs[i] for i in checked], keys, hot_rows)))
     if not hot:
         return HotKeys([{} for _ in inputs])
     sides = [

@@ -42,7 +42,7 @@ class Catalog:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
         """Read a catalog document from any place Spark can read."""
-        document = spark.read.option("wholetext", True).text(path).first()
+        document = spark.read.text(path, wholetext=True).first()
         if document is None:
             raise SpecError(f"{path} is empty")
         return cls.from_json(document.value)

@@ -227,7 +227,6 @@ for _name, _of, _test, _where, _columns in (
     ("filter_ge", "lineitem", ("l_linenumber", ">=", "5.5"), "l_linenumber >= 6", _LINE),
     ("filter_time", "orders", ("o_orderdate", ">=", "1996-01-01"),
      "o_orderdate >= TIMESTAMP '1996-01-01'", _ORDER),
-    ("filter_unparseable", "lineitem", ("l_linenumber", "!=", "three"), "false", _LINE),
     ("filter_contains", "part", ("p_name", "contains", "1"), "contains(p_name, '1')", _PART),
     ("filter_contains_number", "orders", ("o_orderkey", "contains", "77"),
      "contains(CAST(o_orderkey AS VARCHAR), '77')", _ORDER),
