@@ -143,3 +143,15 @@ def test_fusable_columns(spark):
     workspace.add("b", spark.createDataFrame([], "y string, z int, x long"))
     assert fusable_columns(workspace, ["a", "b"]) == ["z", "y"]
     assert fusable_columns(workspace, ["a"]) == ["z", "x", "y"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "outer"])
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_a_dataset_joined_with_itself(spark, how, hot_rows):
+    workspace = Workspace(spark)
+    workspace.add("a", spark.createDataFrame([(1, "p"), (1, "q"), (2, "r")], "k int, v string"))
+    workspace.save("b", workspace["a"])
+    df = _fuse(workspace, "a", "b", fuse_on="k", fuse_how=how, hot_rows=hot_rows)
+    pairs = [(1, x, y) for x in "pq" for y in "pq"] + [(2, "r", "r")]
+    assert df.columns == ["k", "v", "v_b"]
+    assert rows(df) == {pair: 1 for pair in pairs}

@@ -82,7 +82,7 @@ def test_hot_keys_are_found_with_exact_counts(spark):
     left = _data(spark, 900, 1, "l")
     right = spark.range(1, 50).select(F.col("id").alias("k"))
     hot = skew.find_hot_keys([left, right], ["k"], 100, [0])
-    assert hot.counts == [{"1": 301}, {"1": 1}]
+    assert hot.counts == [{1: 301}, {1: 1}]
     assert not skew.find_hot_keys([left, right], ["k"], 1_000, [0, 1])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.casting import is_fractional, is_integral
+from weftline.functions.casting import is_fractional, is_integral, soft_cast
 from weftline.functions.columns import column, type_of
 
 # 64 bins per power of two bound the first histogram to about 270,000 bins for any doubles.
@@ -33,7 +33,7 @@ def numeric_view(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     col = column(df, name)
     dtype = type_of(df, col)
     if isinstance(dtype, T.StringType):
-        return col.try_cast("double"), T.DoubleType()
+        return soft_cast(col, dtype, T.DoubleType()), T.DoubleType()
     if is_integral(dtype) or is_fractional(dtype) or isinstance(dtype, T.DecimalType):
         return col, dtype
     raise TypeError(f"no statistic for column {name!r} of type {dtype.simpleString()}")

@@ -168,7 +168,12 @@ def explode(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
     array = column(df, path)
     if not isinstance(type_of(df, array), T.ArrayType):
         raise SpecError(f"{path!r} is not an array")
-    return df.withColumn(name, F.explode(array))
+    # A plain explode makes Spark test the array's size below it, which computes an array that
+    # comes from JSON twice. Positions are null only where there is no element.
+    position, element = "__position", "__element"
+    exploded = df.select("*", F.posexplode_outer(array).alias(position, element))
+    exploded = exploded.where(F.col(position).isNotNull())
+    return exploded.withColumn(name, F.col(element)).drop(position, element)
 
 
 def flatten(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:

@@ -24,6 +24,8 @@ from weftline.functions.columns import quoted
 SKETCH_ITEMS = 1_024
 HOT_SHARE = 200
 HOT_ROWS = 1_000_000
+# A key with HOT_ROWS rows still has this many in the part of the rows that is sketched.
+SKETCHED_HOT_ROWS = 10_000
 MERGE_GROUPS = 64
 
 _CELL = ("__left_cell", "__right_cell")
@@ -40,13 +42,15 @@ class HotKeys:
 
 
 def token(df: DataFrame, keys: list[str]) -> Column:
-    """Text that two rows share exactly if a join takes their keys as equal.
+    """A value that two rows share exactly if a join takes their keys as equal.
 
     Null if any key column is null, since such a row joins with nothing.
     """
+    if len(keys) == 1:
+        if is_integral(_key_type(df, keys[0])):
+            return F.col(quoted(keys[0])).cast("long")
+        return _text(df, keys[0])
     parts = [_text(df, key) for key in keys]
-    if len(parts) == 1:
-        return parts[0]
     # The length prefix keeps ("ab", "c") and ("a", "bc") apart.
     return F.concat(*(F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts))
 
@@ -82,14 +86,17 @@ def _same_text(types: list[T.DataType]) -> bool:
 
 
 def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[set]:
-    """Hot keys per input, from one pass over the key columns.
+    """Candidates for hot keys per input, from one pass over the key columns.
 
-    Sketches are merged in two steps, so that no task merges one summary per input task.
+    A share of the rows is enough to see keys this frequent; their exact counts follow later,
+    and a key that is missed costs balance, never rows. Sketches are merged in two steps, so
+    that no task merges one summary per input task.
     """
-    sides = [
-        df.select(F.lit(i).alias("side"), token(df, keys).alias("token"))
-        for i, df in enumerate(inputs)
-    ]
+    share = min(1.0, SKETCHED_HOT_ROWS / hot_rows)
+    sides = []
+    for i, df in enumerate(inputs):
+        side = df.select(F.lit(i).alias("side"), token(df, keys).alias("token"))
+        sides.append(side.sample(share, seed=11) if share < 1 else side)
     keyed = reduce(DataFrame.unionByName, sides).where("token IS NOT NULL")
     partial = keyed.groupBy(
         "side", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")
@@ -105,7 +112,7 @@ def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[s
     for row in merged.select(
         "side", "n", F.expr(f"approx_top_k_estimate(sketch, {HOT_SHARE})").alias("top")
     ).collect():
-        threshold = max(row.n / HOT_SHARE, hot_rows)
+        threshold = max(row.n / HOT_SHARE, 0.9 * share * hot_rows)
         found[row.side] = {item["item"] for item in row.top if item["count"] >= threshold}
     return found
 
@@ -130,6 +137,8 @@ def find_hot_keys(
     counted = reduce(DataFrame.unionByName, sides).groupBy("side", "token").count()
     for row in counted.collect():
         counts[row.side][row.token] = row["count"]
+    if all(n < hot_rows for side in counts for n in side.values()):
+        return HotKeys([{} for _ in inputs])
     return HotKeys(counts)
 
 

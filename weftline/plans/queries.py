@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.casting import CAST_TYPES
 from weftline.operators.fusion import fusable_columns, run_fusion
-from weftline.operators.inspect import describe, preview, run_sql
+from weftline.operators.inspect import describe, displayable, preview, run_sql
 from weftline.operators.rules import apply_processes, apply_rule
 from weftline.plans.catalog import Catalog
 from weftline.plans.pipeline import run_pipeline
@@ -151,7 +151,7 @@ def cast_fraction_text(spark, sf_dir):
            CAST(l_linenumber AS INT) AS as_int, CAST(l_linenumber AS VARCHAR) AS as_string,
            CAST(l_linenumber AS DOUBLE) AS as_double, CAST(l_linenumber AS FLOAT) AS as_float,
            CAST(l_linenumber AS BOOLEAN) AS as_bool,
-           make_timestamp(CAST(l_linenumber AS BIGINT) * 1000000) AS as_timestamp,
+           CAST(l_linenumber AS BIGINT) AS as_timestamp,
            CAST(l_linenumber AS BIGINT) AS as_long, CAST(l_linenumber AS SMALLINT) AS as_short,
            CAST(l_linenumber AS TINYINT) AS as_byte
     FROM lineitem
@@ -161,9 +161,10 @@ def cast_every_type(spark, sf_dir):
     processes = []
     for name in CAST_TYPES:
         processes += [_flatten("l_linenumber", f"as_{name}"), _cast(f"as_{name}", name)]
-    # Seconds since the epoch as local time, so that the answer is free of the time zone.
-    offset = F.to_timestamp_ntz(F.date_format("as_timestamp", "yyyy-MM-dd HH:mm:ss"))
-    return apply_processes(df, processes).withColumn("as_timestamp", offset)
+    # Shown as seconds since the epoch, which do not depend on the session's time zone.
+    return apply_processes(df, processes).withColumn(
+        "as_timestamp", F.unix_seconds("as_timestamp")
+    )
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders")
@@ -433,8 +434,8 @@ _MEASURES_SAMPLE = (
 )
 
 
-def _measures_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object per line item, with an array of structs inside."""
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items read back from JSON text, with an array of structs inside."""
     measures = F.array(
         *(
             F.struct(F.lit(name).alias("name"), F.struct(F.col(c).alias("amount")).alias("detail"))
@@ -446,7 +447,18 @@ def _measures_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"),
         measures.alias("measures"),
     )
-    return _table(spark, sf_dir, "lineitem").select(F.to_json(document).alias("value"))
+    folder = new_folder(spark, "measures")
+    _table(spark, sf_dir, "lineitem").select(F.to_json(document)).write.text(folder)
+    workspace = Workspace(spark)
+    snapshot = {
+        "stream_from": "files",
+        "path": folder,
+        "schema_skeleton": _MEASURES_SAMPLE,
+        "dataframe_name": "measures",
+        "snapshot": True,
+    }
+    import_sources(workspace, {"Stream": snapshot})
+    return workspace["measures"].withColumn("line", F.col("line").cast("int"))
 
 
 @query("""
@@ -456,9 +468,8 @@ def _measures_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem
 """)
 def decode_explode_flatten(spark, sf_dir):
-    df = decode_json(_measures_as_json(spark, sf_dir), _MEASURES_SAMPLE)
     return apply_processes(
-        df.withColumn("line", F.col("line").cast("int")),
+        _measures(spark, sf_dir),
         [
             _explode("measures", "measure"),
             _flatten("measure.name", "name"),
@@ -473,9 +484,8 @@ def decode_explode_flatten(spark, sf_dir):
     FROM lineitem
 """)
 def flatten_through_array(spark, sf_dir):
-    df = decode_json(_measures_as_json(spark, sf_dir), _MEASURES_SAMPLE)
     return apply_processes(
-        df.withColumn("line", F.col("line").cast("int")),
+        _measures(spark, sf_dir),
         [
             _flatten("measures.name", "names"),
             _explode("names", "name"),
@@ -838,22 +848,27 @@ def sql_view(spark, sf_dir):
     )
 
 
-_FIRST_ORDERS = """
-    SELECT o_custkey, o_orderkey, o_totalprice,
-           sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
-               AS running_total
-    FROM {orders}
+_ROLLUP = """
+    SELECT o_orderstatus, o_orderpriority, count(*) AS n_orders,
+           round(sum(o_totalprice), 2) AS total
+    FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)
+"""
+_UNSOLD = """
+    SELECT p_partkey AS partkey FROM {part} WHERE p_size > 10
+    EXCEPT
+    SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45
 """
 
 
-@query(f"""
-    SELECT o_custkey, o_orderkey, o_totalprice, round(running_total, 2) AS running_total
-    FROM ({_FIRST_ORDERS.format(orders="orders")})
-""")
-def sql_window(spark, sf_dir):
-    workspace = _workspace(spark, sf_dir, "orders")
-    df = run_sql(workspace, _FIRST_ORDERS.format(orders="view_orders"))
-    return df.withColumn("running_total", F.round("running_total", 2))
+@query(_ROLLUP.format(orders="orders"))
+def sql_rollup(spark, sf_dir):
+    return run_sql(_workspace(spark, sf_dir, "orders"), _ROLLUP.format(orders="view_orders"))
+
+
+@query(_UNSOLD.format(part="part", lineitem="lineitem"))
+def sql_except(spark, sf_dir):
+    workspace = _workspace(spark, sf_dir, "part", "lineitem")
+    return run_sql(workspace, _UNSOLD.format(part="view_part", lineitem="view_lineitem"))
 
 
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60")
@@ -863,6 +878,20 @@ def preview_sorted(spark, sf_dir):
     return preview(run_sql(workspace, text), 60)
 
 
+@query("""
+    SELECT event_id, '[' || event_type || ', ' || user_id || ']' AS labels,
+           '{' || json_extract(props, '$.k') || '}' AS parsed
+    FROM events
+""")
+def display_nested(spark, sf_dir):
+    df = _table(spark, sf_dir, "events").select(
+        "event_id",
+        F.array("event_type", F.col("user_id").cast("string")).alias("labels"),
+        F.from_json("props", F.schema_of_json(F.lit('{"k": 1}'))).alias("parsed"),
+    )
+    return displayable(df)
+
+
 def _described_column(statistic: str, aggregate: str) -> str:
     return f"""
         SELECT '{statistic}' AS summary,
@@ -930,6 +959,30 @@ def parquet_round_trip(spark, sf_dir):
     return read_file(spark, FileSpec(exported.paths["orders"]))
 
 
+@query("""
+    SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier
+    UNION ALL
+    SELECT CAST(c_custkey AS VARCHAR), c_name FROM customer
+""")
+def target_two_formats(spark, sf_dir):
+    workspace = _workspace(spark, sf_dir, "supplier", "customer")
+    rules = {
+        "supplier": [_drop("column", "s_nationkey", "s_acctbal")],
+        "customer": [_drop("column", "c_nationkey", "c_acctbal", "c_mktsegment")],
+    }
+    apply_rule(workspace, rules)
+    target = {
+        "type": "download",
+        "datasets": ["supplier", "customer"],
+        "conversions": {"supplier": "csv", "customer": "parquet"},
+    }
+    place = RunPlace(new_folder(spark, "formats"), new_folder(spark, "streams"))
+    paths = export(workspace, target, place).paths
+    written = Workspace(spark)
+    import_sources(written, {"Files": [{"path": path} for path in paths.values()]})
+    return _fuse(written, "supplier", "customer", fuse_by="row")
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def json_files(spark, sf_dir):
     df = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
@@ -1129,6 +1182,51 @@ def stream_csv(spark, sf_dir):
     return _drained(workspace, "events", "csv")
 
 
+def _stream_layers(sf_dir: str, kind: str) -> list[dict]:
+    rule = [_filter("event_type", "==", kind), _drop("column", "ts", "props", "user_id")]
+    target = {
+        "type": "download",
+        "datasets": ["events"],
+        "conversions": {"events": "parquet"},
+        "trigger": "available_now",
+    }
+    return [
+        {"layer_type": "Source", "layer_selection": {"Stream": _event_stream(sf_dir)}},
+        {"layer_type": "Processor", "layer_selection": {"events": rule}},
+        {"layer_type": "Target", "layer_selection": target},
+    ]
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase'")
+def stream_restart(spark, sf_dir):
+    places = {
+        "output_dir": new_folder(spark, "stream-out"),
+        "checkpoint_root": new_folder(spark, "stream-progress"),
+    }
+    for _ in range(2):  # the second run finds nothing new
+        result = run_pipeline(spark, _stream_layers(sf_dir, "purchase"), "restart", **places)
+        result.wait()
+    return spark.read.schema(result["events"].schema).parquet(result.paths["events"])
+
+
+@query("""
+    SELECT event_id, event_type, value FROM events WHERE event_type IN ('purchase', 'signup')
+""")
+def stream_side_by_side(spark, sf_dir):
+    results = []
+    for kind in ("purchase", "signup"):
+        places = {
+            "output_dir": new_folder(spark, "stream-out"),
+            "checkpoint_root": new_folder(spark, "stream-progress"),
+        }
+        name = f"side-by-side-{kind}"
+        results.append(run_pipeline(spark, _stream_layers(sf_dir, kind), name, **places))
+    for result in results:
+        result.wait()
+    schema = results[0]["events"].schema
+    return spark.read.schema(schema).parquet(*(r.paths["events"] for r in results))
+
+
 # -- whole specs ----------------------------------------------------------------------------
 
 
