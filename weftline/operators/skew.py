@@ -31,9 +31,10 @@ MERGE_GROUPS = 64
 _CELL = ("__left_cell", "__right_cell")
 _SEEN = ("__left_seen", "__right_seen")
 
+
 @dataclass
 class HotKeys:
-    """Row counts of every hot key in each input, by input position."""
+    """Row counts of every hot key in each input, by input position; None counts null keys."""
 
     counts: list[dict[object, int]] = field(default_factory=list)
 
@@ -85,8 +86,8 @@ def _same_text(types: list[T.DataType]) -> bool:
     return isinstance(types[0], T.AtomicType) and not isinstance(types[0], T.BinaryType)
 
 
-def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[set]:
-    """Candidates for hot keys per input, from one pass over the key columns.
+def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[dict]:
+    """Candidates for hot keys per input with estimated counts, from one pass over the keys.
 
     A share of the rows is enough to see keys this frequent; their exact counts follow later,
     and a key that is missed costs balance, never rows. Sketches are merged in two steps, so
@@ -97,23 +98,31 @@ def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[s
     for i, df in enumerate(inputs):
         side = df.select(F.lit(i).alias("side"), token(df, keys).alias("token"))
         sides.append(side.sample(share, seed=11) if share < 1 else side)
-    keyed = reduce(DataFrame.unionByName, sides).where("token IS NOT NULL")
-    partial = keyed.groupBy(
+    partial = reduce(DataFrame.unionByName, sides).groupBy(
         "side", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")
-    ).agg(
-        F.expr(f"approx_top_k_accumulate(token, {SKETCH_ITEMS})").alias("sketch"),
-        F.count(F.lit(1)).alias("n"),
     )
-    merged = partial.groupBy("side").agg(
-        F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
-        F.sum("n").alias("n"),
+    merged = (
+        partial.agg(
+            F.expr(
+                f"approx_top_k_accumulate(token, {SKETCH_ITEMS}) FILTER (WHERE token IS NOT NULL)"
+            ).alias("sketch"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("token").isNull()).alias("nulls"),
+        )
+        .groupBy("side")
+        .agg(
+            F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
+            F.sum("n").alias("n"),
+            F.sum("nulls").alias("nulls"),
+        )
     )
-    found: list[set] = [set() for _ in inputs]
+    found: list[dict] = [{} for _ in inputs]
     for row in merged.select(
-        "side", "n", F.expr(f"approx_top_k_estimate(sketch, {HOT_SHARE})").alias("top")
+        "side", "n", "nulls", F.expr(f"approx_top_k_estimate(sketch, {HOT_SHARE})").alias("top")
     ).collect():
         threshold = max(row.n / HOT_SHARE, 0.9 * share * hot_rows)
-        found[row.side] = {item["item"] for item in row.top if item["count"] >= threshold}
+        items = [(None, row.nulls), *((item["item"], item["count"]) for item in row.top)]
+        found[row.side] = {key: int(n / share) for key, n in items if n >= threshold}
     return found
 
 
@@ -124,19 +133,22 @@ def find_hot_keys(
 
     At most ``HOT_SHARE`` keys per input can be hot, so the result is small whatever the data.
     """
-    hot = sorted(set().union(*_sketched([inputs[i] for i in checked], keys, hot_rows)))
-    if not hot:
-        return HotKeys([{} for _ in inputs])
-    sides = [
-        df.select(F.lit(i).alias("side"), token(df, keys).alias("token")).where(
-            F.col("token").isin(hot)
-        )
-        for i, df in enumerate(inputs)
-    ]
+    sketched = _sketched([inputs[i] for i in checked], keys, hot_rows)
     counts: list[dict] = [{} for _ in inputs]
-    counted = reduce(DataFrame.unionByName, sides).groupBy("side", "token").count()
-    for row in counted.collect():
-        counts[row.side][row.token] = row["count"]
+    for i, found in zip(checked, sketched):
+        if None in found:
+            counts[i][None] = found[None]
+    hot = sorted({key for found in sketched for key in found if key is not None})
+    if hot:
+        sides = [
+            df.select(F.lit(i).alias("side"), token(df, keys).alias("token")).where(
+                F.col("token").isin(hot)
+            )
+            for i, df in enumerate(inputs)
+        ]
+        counted = reduce(DataFrame.unionByName, sides).groupBy("side", "token").count()
+        for row in counted.collect():
+            counts[row.side][row.token] = row["count"]
     if all(n < hot_rows for side in counts for n in side.values()):
         return HotKeys([{} for _ in inputs])
     return HotKeys(counts)
@@ -147,12 +159,13 @@ def joined_counts(left: dict, right: dict, how: str) -> dict:
     result = {}
     for key in left.keys() | right.keys():
         l, r = left.get(key, 0), right.get(key, 0)
-        if l and r:
-            result[key] = l * r
-        elif l and how in ("left", "outer"):
-            result[key] = l
-        elif r and how in ("right", "outer"):
-            result[key] = r
+        matched = l * r if key is not None else 0
+        if matched:
+            result[key] = matched
+            continue
+        kept = (l if how in ("left", "outer") else 0) + (r if how in ("right", "outer") else 0)
+        if kept:
+            result[key] = kept
     return result
 
 
@@ -171,11 +184,11 @@ def _spread(
     own_cell = F.when(t.isin(hot[own]) | t.isNull(), place) if hot[own] else F.when(
         t.isNull(), place
     )
-    df = df.withColumns(
-        {_CELL[own]: F.coalesce(own_cell, F.lit(0)), _SEEN[own]: F.lit(True)}
-    )
+    # Always 0, but not a literal: Spark would take "cell = 0" out of the keys it shuffles by.
+    zero = F.pmod(F.hash(*(quoted(key) for key in keys)), F.lit(1))
+    df = df.withColumns({_CELL[own]: F.coalesce(own_cell, zero), _SEEN[own]: F.lit(True)})
     if not hot[other]:
-        return df.withColumn(_CELL[other], F.lit(0))
+        return df.withColumn(_CELL[other], zero)
     every_cell = F.sequence(F.lit(0), F.lit(cells[other] - 1))
     copies = F.when(t.isin(hot[other]), every_cell).otherwise(F.array(F.lit(0)))
     return df.withColumn(_CELL[other], F.explode(copies))
@@ -192,13 +205,14 @@ def salted_join(
 ) -> DataFrame:
     """The same rows as ``left.join(right, keys, how)``."""
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot, cells = [], []
-    for counts in (left_counts, right_counts):
+    hot, cells, spread_nulls = [], [], False
+    for counts, keeping in ((left_counts, ("left", "outer")), (right_counts, ("right", "outer"))):
         large = {key: n for key, n in counts.items() if n >= hot_rows}
-        hot.append(sorted(large))
         wanted = ceil(max(large.values(), default=1) / hot_rows)
         cells.append(max(2, min(wanted, partitions)))
-    if not any(hot):
+        spread_nulls |= None in large and how in keeping
+        hot.append(sorted(key for key in large if key is not None))
+    if not any(hot) and not spread_nulls:
         return left.join(right, on=keys, how=how)
 
     joined = _spread(left, keys, 0, hot, cells).join(
