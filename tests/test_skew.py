@@ -45,11 +45,9 @@ def _same(spark, inputs, keys, how, hot_rows=10):
     "left_hot, right_hot", [(1, None), (None, 1), (1, 1), (1, 2), (-5, None), (None, -5)]
 )
 def test_two_inputs(spark, how, left_hot, right_hot):
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")  # checks both sides
     left = _data(spark, 90, left_hot or 1_000, "l")
     right = _data(spark, 60, right_hot or 2_000, "r", step=2)
     _same(spark, {"left": left, "right": right}, "k", how)
-    spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
 
 
 @pytest.mark.parametrize("how", HOWS)
@@ -81,9 +79,29 @@ def test_composite_keys_of_awkward_types(spark, how):
 def test_hot_keys_are_found_with_exact_counts(spark):
     left = _data(spark, 900, 1, "l")
     right = spark.range(1, 50).select(F.col("id").alias("k"))
-    hot = skew.find_hot_keys([left, right], ["k"], 100, [0])
+    hot = skew.find_hot_keys([left, right], ["k"], 100)
     assert hot.counts == [{1: 301}, {1: 1}]
-    assert not skew.find_hot_keys([left, right], ["k"], 1_000, [0, 1])
+    assert not skew.find_hot_keys([left, right], ["k"], 1_000)
+
+
+def test_joins_that_broadcast_need_no_lookup(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/small")
+    spark.range(300_000).write.parquet(f"{tmp_path}/large")
+    small, large = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("small", "large"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    both_ways = ([small, large], [large, small])
+    expected = {"inner": [True, True], "left": [False, True], "right": [True, False],
+                "outer": [False, False]}
+    for how, answers in expected.items():
+        assert [skew.broadcasts(inputs, how) for inputs in both_ways] == answers
+        for inputs, answer in zip(both_ways, answers):
+            joined = inputs[0].join(inputs[1], "id", how)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == answer
+    assert skew.broadcasts([large, small, small], "left")
+    assert not skew.broadcasts([large, small, large], "inner")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert not skew.broadcasts([large, small], "inner")
 
 
 def test_joined_counts():
@@ -100,7 +118,7 @@ def test_hot_null_keys(spark, how):
         F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("l")
     )
     right = left.select((F.col("k") * 3).alias("k"), F.col("l").alias("r"))
-    hot = skew.find_hot_keys([left, right], ["k"], 100, [0, 1])
+    hot = skew.find_hot_keys([left, right], ["k"], 100)
     assert hot.counts == [{None: 150}, {None: 150}]
     _same(spark, {"left": left, "right": right, "again": left.select("k")}, "k", how, 100)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -73,10 +73,8 @@ def fuse_columns(
 
     inputs = [_with_keys(workspace[name], keys, name) for name in datasets]
     hot = skew.HotKeys([{} for _ in inputs])
-    if skew_mode == "salt" and skew.comparable(inputs, keys):
-        checked = _unsplittable(workspace, len(inputs), how)
-        if checked:
-            hot = skew.find_hot_keys(inputs, keys, hot_rows, checked)
+    if skew_mode == "salt" and skew.comparable(inputs, keys) and not skew.broadcasts(inputs, how):
+        hot = skew.find_hot_keys(inputs, keys, hot_rows)
 
     fused, counts = inputs[0], hot.counts[0]
     for right, name, right_counts in zip(inputs[1:], datasets[1:], hot.counts[1:]):
@@ -92,19 +90,6 @@ def fuse_columns(
     return fused
 
 
-def _unsplittable(workspace: Workspace, inputs: int, how: str) -> list[int]:
-    """Inputs whose hot keys adaptive execution cannot split at runtime.
-
-    In a single join it splits both sides of an inner join and the kept side of a left or right
-    join. In a chain on one key it splits nothing, since the partitioning is used again.
-    """
-    conf = workspace.spark.conf
-    adaptive = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    if inputs > 2 or any(conf.get(key) != "true" for key in adaptive):
-        return list(range(inputs))
-    return {"inner": [], "left": [1], "right": [0], "outer": [0, 1]}[how]
-
-
 _GIVEN = ("__given_left_", "__given_right_")
 
 

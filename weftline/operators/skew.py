@@ -1,10 +1,11 @@
 """Equi-joins that stay balanced when one key holds a large share of the rows.
 
-Adaptive execution splits a skewed partition of a two-way inner join by itself. It cannot do
-so for a full outer join, on the null-supplying side of a left or right join, or inside a
-chain of joins on one key. For those, hot keys are looked up first. If there are none, the
-plain join is used. Otherwise, the rows of a hot key are spread over several cells and the
-other side's rows of that key are copied into each cell, for hot keys only.
+Adaptive execution splits a skewed partition only between two plain shuffles, and only on the
+kept side of an outer join: not for a full outer join, not when one input is an aggregate or
+another join on the same key. So unless a join will broadcast, hot keys are looked up first.
+If there are none, the plain join is used. Otherwise, the rows of a hot key are spread over
+several cells and the other side's rows of that key are copied into each cell, for hot keys
+only. Rows with null keys, which match nothing, are spread as well.
 """
 
 from __future__ import annotations
@@ -86,6 +87,31 @@ def _same_text(types: list[T.DataType]) -> bool:
     return isinstance(types[0], T.AtomicType) and not isinstance(types[0], T.BinaryType)
 
 
+def broadcasts(inputs: list[DataFrame], how: str) -> bool:
+    """Whether Spark's own size estimates let every join of the fold broadcast a side.
+
+    Such joins do not shuffle, so a hot key cannot unbalance them. Spark decides on the same
+    estimates; nothing is forced here.
+    """
+    small = [_is_small(df) for df in inputs]
+    if how == "inner" and len(inputs) == 2:
+        return any(small)
+    if how in ("inner", "left"):
+        return all(small[1:])
+    return how == "right" and len(inputs) == 2 and small[0]
+
+
+_UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
+
+
+def _is_small(df: DataFrame) -> bool:
+    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+    unit = setting.lstrip("-0123456789")
+    limit = int(setting[: len(setting) - len(unit)]) * _UNITS.get(unit, 0)
+    statistics = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(statistics.sizeInBytes())) <= limit
+
+
 def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[dict]:
     """Candidates for hot keys per input with estimated counts, from one pass over the keys.
 
@@ -126,18 +152,13 @@ def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[d
     return found
 
 
-def find_hot_keys(
-    inputs: list[DataFrame], keys: list[str], hot_rows: int, checked: list[int]
-) -> HotKeys:
-    """Exact counts, in every input, of the keys that are hot in any checked input.
+def find_hot_keys(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> HotKeys:
+    """Exact counts, in every input, of the keys that are hot in any input.
 
     At most ``HOT_SHARE`` keys per input can be hot, so the result is small whatever the data.
     """
-    sketched = _sketched([inputs[i] for i in checked], keys, hot_rows)
-    counts: list[dict] = [{} for _ in inputs]
-    for i, found in zip(checked, sketched):
-        if None in found:
-            counts[i][None] = found[None]
+    sketched = _sketched(inputs, keys, hot_rows)
+    counts: list[dict] = [{None: found[None]} if None in found else {} for found in sketched]
     hot = sorted({key for found in sketched for key in found if key is not None})
     if hot:
         sides = [
