@@ -14,4 +14,6 @@ def decode_json(df: DataFrame, sample: str, value: str = "value") -> DataFrame:
     """
     text = F.col(value).cast("string")
     parsed = F.from_json(text, F.schema_of_json(F.lit(sample)))
-    return df.where(text.startswith("{")).select(parsed.alias("parsed")).select("parsed.*")
+    # Expanding with inline keeps later filters above the parser. Below it, Spark would parse
+    # the text once more for each of them.
+    return df.where(text.startswith("{")).select(F.inline(F.array(parsed)))
