@@ -50,6 +50,14 @@ def test_drop_nulls(spark):
         _drop(df, "null values", "absent")
 
 
+def test_dropping_nulls_reaches_the_scan(spark, tmp_path):
+    _people(spark).withColumnRenamed("name", "full.name").write.parquet(f"{tmp_path}/t")
+    df = _drop(spark.read.parquet(f"{tmp_path}/t"), "null values", "full.name", "id")
+    assert df.count() == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(id)" in plan and "full.name" in plan.split("PushedFilters:")[1]
+
+
 def test_all_means_the_columns_as_they_are_now(spark):
     df = _people(spark).withColumn("extra", F.lit(None).cast("int"))
     processes = [

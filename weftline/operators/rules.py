@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -80,12 +82,19 @@ def drop(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
         return df.drop(*(name for name in map(lambda n: find_name(df, n), names) if name))
     names = [require_name(df, name) for name in names]
     if how == "null values":
-        return df.dropna(how="any", subset=names)
+        return df.where(reduce(and_, (_is_present(df, name) for name in names), F.lit(True)))
     if how == "duplicates":
         return _drop_duplicates(df, names, args.get("watermark"))
     raise SpecError(f"unknown drop_by {how!r}")
 
 
+def _is_present(df: DataFrame, name: str) -> Column:
+    """Neither null nor NaN; null tests are plain, so that scans can use them."""
+    col = F.col(quoted(name))
+    present = col.isNotNull()
+    return present & ~F.isnan(col) if is_fractional(type_of(df, col)) else present
+
+
 def _drop_duplicates(df: DataFrame, names: list[str], watermark: Args | None) -> DataFrame:
     if not watermark:
         return df.dropDuplicates(names)

@@ -22,12 +22,12 @@ from weftline.functions.casting import is_fractional, is_integral
 from weftline.functions.columns import quoted
 
 # The sketch is exact to within rows / (0.75 * SKETCH_ITEMS), which is below rows / HOT_SHARE.
-SKETCH_ITEMS = 1_024
-HOT_SHARE = 200
+SKETCH_ITEMS = 8_192
+HOT_SHARE = 2_000
 HOT_ROWS = 1_000_000
 # A key with HOT_ROWS rows still has this many in the part of the rows that is sketched.
 SKETCHED_HOT_ROWS = 10_000
-MERGE_GROUPS = 64
+MERGE_GROUPS = 512
 
 _CELL = ("__left_cell", "__right_cell")
 _SEEN = ("__left_seen", "__right_seen")
@@ -101,7 +101,11 @@ def broadcasts(inputs: list[DataFrame], how: str) -> bool:
     return how == "right" and len(inputs) == 2 and small[0]
 
 
-_UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
+_UNITS = {"": 1, "b": 1} | {
+    f"{unit}{suffix}": 2 ** (10 * power)
+    for power, unit in enumerate("kmgt", start=1)
+    for suffix in ("", "b")
+}
 
 
 def _is_small(df: DataFrame) -> bool:
@@ -122,8 +126,9 @@ def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[d
     share = min(1.0, SKETCHED_HOT_ROWS / hot_rows)
     sides = []
     for i, df in enumerate(inputs):
-        side = df.select(F.lit(i).alias("side"), token(df, keys).alias("token"))
-        sides.append(side.sample(share, seed=11) if share < 1 else side)
+        df = df.select(*(quoted(key) for key in keys))
+        df = df.sample(share, seed=11) if share < 1 else df
+        sides.append(df.select(F.lit(i).alias("side"), token(df, keys).alias("token")))
     partial = reduce(DataFrame.unionByName, sides).groupBy(
         "side", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")
     )

@@ -7,6 +7,7 @@ many pipelines.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,16 +59,18 @@ class PipelineResult:
 def run_pipeline(
     spark: SparkSession,
     layers: list[dict],
-    name: str = "pipeline",
+    name: str | None = None,
     output_dir: str | None = None,
     checkpoint_root: str | None = None,
 ) -> PipelineResult:
     """Run resolved layers.
 
     Streams continue where they stopped if ``name`` and ``checkpoint_root`` are the same. The
-    checkpoint root defaults to the shared folder that ``spark.checkpoint.dir`` names.
+    checkpoint root defaults to the shared folder that ``spark.checkpoint.dir`` names. A run
+    without a name gets one of its own, so its streams start from the beginning.
     """
     check_layers(layers)
+    name = name or f"unnamed-{uuid.uuid4().hex}"
     result = PipelineResult(name, Workspace(spark))
     targets = 0
     for index, layer in enumerate(layers):

@@ -5,6 +5,7 @@ The test tables hold no nulls, so some inputs are given nulls by a condition on
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -757,7 +758,9 @@ def fuse_multi_step(spark, sf_dir):
     return workspace["out"]
 
 
-@query("SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")
+@query("""
+    SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)
+""")
 def fuse_discovered_key(spark, sf_dir):
     workspace = _workspace(spark, sf_dir, "documents", "labels")
     apply_rule(workspace, {"documents": [_drop("column", "text")]})
@@ -790,7 +793,10 @@ _TYPES = """(SELECT event_type, count(*) AS n_events FROM events WHERE event_typ
 _PEAKS = "(SELECT event_type, max(value) AS peak FROM events GROUP BY event_type)"
 
 
-@query(f"SELECT event_type, event_id, n_events FROM {_FEW_EVENTS} FULL OUTER JOIN {_TYPES} USING (event_type)")
+@query(f"""
+    SELECT event_type, event_id, n_events
+    FROM {_FEW_EVENTS} FULL OUTER JOIN {_TYPES} USING (event_type)
+""")
 def fuse_outer_hot_keys(spark, sf_dir):
     workspace = _events_and_types(spark, sf_dir)
     return _fuse(
@@ -799,7 +805,10 @@ def fuse_outer_hot_keys(spark, sf_dir):
     )
 
 
-@query(f"SELECT event_type, n_events, event_id FROM {_TYPES} LEFT JOIN {_FEW_EVENTS} USING (event_type)")
+@query(f"""
+    SELECT event_type, n_events, event_id
+    FROM {_TYPES} LEFT JOIN {_FEW_EVENTS} USING (event_type)
+""")
 def fuse_left_hot_keys(spark, sf_dir):
     workspace = _events_and_types(spark, sf_dir)
     return _fuse(
@@ -856,7 +865,7 @@ _ROLLUP = """
 _UNSOLD = """
     SELECT p_partkey AS partkey FROM {part} WHERE p_size > 10
     EXCEPT
-    SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45
+    SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_quantity > 45
 """
 
 
@@ -892,26 +901,23 @@ def display_nested(spark, sf_dir):
     return displayable(df)
 
 
-def _described_column(statistic: str, aggregate: str) -> str:
+def _described(statistic: str, aggregate: str) -> str:
+    of_text = f"CAST({aggregate}(c_name) AS VARCHAR)"
     return f"""
         SELECT '{statistic}' AS summary,
-               CAST({aggregate}(c_custkey) AS DOUBLE) AS c_custkey,
+               round(CAST({aggregate}(c_custkey) AS DOUBLE), 4) AS c_custkey,
                round(CAST({aggregate}(c_acctbal) AS DOUBLE), 4) AS c_acctbal,
-               {"NULL" if statistic in ("mean", "stddev") else f"CAST({aggregate}(c_name) AS VARCHAR)"}
-                   AS c_name
+               {of_text if aggregate in ("count", "min", "max") else "NULL"} AS c_name
         FROM customer
     """
 
 
-@query(" UNION ALL ".join(
-    _described_column(statistic, aggregate).replace(
-        "CAST(avg(c_custkey) AS DOUBLE)", "round(avg(c_custkey), 4)"
-    ).replace("CAST(stddev_samp(c_custkey) AS DOUBLE)", "round(stddev_samp(c_custkey), 4)")
-    for statistic, aggregate in (
-        ("count", "count"), ("mean", "avg"), ("stddev", "stddev_samp"),
-        ("min", "min"), ("max", "max"),
-    )
-))
+_STATISTICS = {
+    "count": "count", "mean": "avg", "stddev": "stddev_samp", "min": "min", "max": "max"
+}
+
+
+@query(" UNION ALL ".join(_described(*statistic) for statistic in _STATISTICS.items()))
 def describe_columns(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name")
     return describe(df).select(
@@ -1029,7 +1035,10 @@ def _event_stream(sf_dir: str, **fields) -> dict:
 def _drained(workspace: Workspace, dataset: str, file_format: str = "parquet") -> DataFrame:
     """Run a streaming dataset over all that its source holds; read back what it wrote."""
     spark = workspace.spark
-    place = RunPlace(new_folder(spark, "stream-out"), new_folder(spark, "stream-progress"))
+    output = new_folder(spark, "stream-out")
+    # Names of running streams are unique in a session.
+    name = posixpath.basename(output)
+    place = RunPlace(output, new_folder(spark, "stream-progress"), pipeline=name)
     target = {
         "type": "download",
         "datasets": [dataset],
