@@ -68,9 +68,11 @@ def _layers(tmp_path, *processes):
 
 def test_a_failed_layer_is_reported_and_nothing_after_it_runs(spark, tmp_path):
     layers = _layers(tmp_path, process("Cast", column_to_cast="none", cast_type="int"))
+    heard = []
     with pytest.raises(PipelineError, match=r"layer 1 \(Processor\): a\[0\] Cast") as error:
-        run_pipeline(spark, layers, output_dir=f"{tmp_path}/out")
-    assert [entry.status for entry in error.value.log] == ["done", "failed"]
+        run_pipeline(spark, layers, output_dir=f"{tmp_path}/out", on_layer=heard.append)
+    assert [entry.status for entry in heard] == ["done", "failed"]
+    assert error.value.log == heard
     assert not (tmp_path / "out").exists()
 
 

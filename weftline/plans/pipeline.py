@@ -8,6 +8,7 @@ many pipelines.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,9 @@ def run_pipeline(
     name: str | None = None,
     output_dir: str | None = None,
     checkpoint_root: str | None = None,
+    on_layer: Callable[[LayerLog], None] | None = None,
 ) -> PipelineResult:
-    """Run resolved layers.
+    """Run resolved layers; ``on_layer`` hears of each as it finishes or fails.
 
     Streams continue where they stopped if ``name`` and ``checkpoint_root`` are the same. The
     checkpoint root defaults to the shared folder that ``spark.checkpoint.dir`` names. A run
@@ -73,6 +75,12 @@ def run_pipeline(
     name = name or f"unnamed-{uuid.uuid4().hex}"
     result = PipelineResult(name, Workspace(spark))
     targets = 0
+
+    def note(entry: LayerLog) -> None:
+        result.log.append(entry)
+        if on_layer:
+            on_layer(entry)
+
     for index, layer in enumerate(layers):
         kind, spec = layer["layer_type"], layer["layer_selection"]
         try:
@@ -99,8 +107,8 @@ def run_pipeline(
         except Exception as error:
             result.stop()
             percent = round(100 * index / len(layers))
-            result.log.append(LayerLog(kind, "failed", percent, str(error)))
+            note(LayerLog(kind, "failed", percent, str(error)))
             raise PipelineError(f"layer {index} ({kind}): {error}", result.log) from error
         percent = round(100 * (index + 1) / len(layers))
-        result.log.append(LayerLog(kind, "done", percent, detail))
+        note(LayerLog(kind, "done", percent, detail))
     return result

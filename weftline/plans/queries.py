@@ -888,7 +888,8 @@ def preview_sorted(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, '[' || event_type || ', ' || user_id || ']' AS labels,
+    SELECT event_id,
+           '[' || event_type || ', ' || coalesce(CAST(user_id AS VARCHAR), 'null') || ']' AS labels,
            '{' || json_extract(props, '$.k') || '}' AS parsed
     FROM events
 """)
@@ -1074,7 +1075,7 @@ def stream_json_decode(spark, sf_dir):
     SELECT event_id AS id, CAST(trunc(value) AS INT) AS value,
            CASE WHEN trunc(value) > 50 THEN 'high' ELSE event_type END AS event_type,
            CAST(json_extract(props, '$.k') AS BIGINT) AS k
-    FROM events WHERE event_type <> 'error'
+    FROM events WHERE event_type <> 'error' AND value IS NOT NULL
 """)
 def stream_rules(spark, sf_dir):
     workspace = _streaming(spark, sf_dir)
