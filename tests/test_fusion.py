@@ -105,6 +105,30 @@ def test_text_key_against_number_key(either_ansi, how):
     assert rows(df) == MIXED[how]
 
 
+@pytest.mark.parametrize("how", MIXED)
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_text_and_number_keys_of_three_inputs(spark, how, hot_rows):
+    workspace = Workspace(spark)
+    texts = spark.createDataFrame([("05", "a"), ("5", "b"), ("junk", "c")], "k string, l string")
+    workspace.add("texts", texts)
+    workspace.add("numbers", spark.createDataFrame([(5, "x"), (6, "y")], "k int, r string"))
+    workspace.add("more", spark.createDataFrame([("5", 1), ("5.0", 2)], "k string, m int"))
+    df = _fuse(
+        workspace, "texts", "numbers", "more", fuse_on="k", fuse_how=how, hot_rows=hot_rows
+    )
+    assert df.columns == ["k", "l", "r", "m"]
+    matched = {(t, l, "x", m) for t, l in (("05", "a"), ("5", "b")) for m in (1, 2)}
+    left_only, right_only = {("junk", "c", None, None)}, {("6", None, "y", None)}
+    if how == "right":
+        matched = {("5" if m == 1 else "5.0", l, "x", m) for _, l, _, m in matched}
+        left_only = right_only = set()
+    if how == "inner":
+        left_only = right_only = set()
+    if how == "left":
+        right_only = set()
+    assert rows(df) == {row: 1 for row in matched | left_only | right_only}
+
+
 def test_refused_joins(workspace):
     with pytest.raises(FusionError, match="Cartesian"):
         _fuse(workspace, "left", "right")

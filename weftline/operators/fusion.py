@@ -72,6 +72,7 @@ def fuse_columns(
         raise FusionError(f"unknown skew {skew_mode!r}, expected 'salt' or 'adaptive'")
 
     inputs = [_with_keys(workspace[name], keys, name) for name in datasets]
+    inputs, mixed = _with_typed_keys(inputs, keys)
     hot = skew.HotKeys([{} for _ in inputs])
     if skew_mode == "salt" and skew.comparable(inputs, keys) and not skew.broadcasts(inputs, how):
         hot = skew.find_hot_keys(inputs, keys, hot_rows)
@@ -80,50 +81,58 @@ def fuse_columns(
     for right, name, right_counts in zip(inputs[1:], datasets[1:], hot.counts[1:]):
         check_join(fused, right, keys, how)
         right = _without_clashes(fused, right, keys, name)
-        left, right, mixed = _with_typed_keys(fused, right, keys)
         if hot:
-            fused = skew.salted_join(left, right, keys, how, counts, right_counts, hot_rows)
+            fused = skew.salted_join(fused, right, keys, how, counts, right_counts, hot_rows)
             counts = skew.joined_counts(counts, right_counts, how)
         else:
-            fused = left.join(right, on=keys, how=how)
-        fused = _with_given_keys(fused, mixed, how)
+            fused = fused.join(right, on=keys, how=how)
+        fused = _with_kept_given_keys(fused, mixed, how)
+    for key in mixed:
+        fused = fused.withColumn(key, F.col(quoted(_GIVEN + key))).drop(_GIVEN + key)
     return fused
 
 
-_GIVEN = ("__given_left_", "__given_right_")
+_GIVEN, _GIVEN_RIGHT = "__given_", "__given_right_"
 
 
 def _with_typed_keys(
-    left: DataFrame, right: DataFrame, keys: list[str]
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Where a key is text on one side only, compare it as the other side's type.
+    inputs: list[DataFrame], keys: list[str]
+) -> tuple[list[DataFrame], list[str]]:
+    """Where a key is text in some inputs only, compare it as the type of the others.
 
-    Text that does not parse matches nothing, with ANSI mode on or off. The key columns as
-    given travel along under other names.
+    Text that does not parse matches nothing, with ANSI mode on or off. The keys as given
+    travel along under other names.
     """
-    sides = [left, right]
-    types = [{f.name: f.dataType for f in df.schema} for df in sides]
+    types = [{f.name: f.dataType for f in df.schema} for df in inputs]
     mixed = []
     for key in keys:
-        text = [isinstance(t[key], T.StringType) for t in types]
-        if text[0] == text[1]:
+        others = [t[key] for t in types if not isinstance(t[key], T.StringType)]
+        if not 0 < len(others) < len(inputs):
             continue
         mixed.append(key)
-        for i in (0, 1):
-            given = F.col(quoted(key))
-            typed = soft_cast(given, types[i][key], types[1 - i][key]) if text[i] else given
-            sides[i] = sides[i].withColumns({_GIVEN[i] + key: given, key: typed})
-    return sides[0], sides[1], mixed
+        col = F.col(quoted(key))
+        inputs = [
+            df.withColumns(
+                {
+                    (_GIVEN_RIGHT if i else _GIVEN) + key: col,
+                    key: soft_cast(col, t[key], others[0]) if t[key] not in others else col,
+                }
+            )
+            for i, (df, t) in enumerate(zip(inputs, types))
+        ]
+    return inputs, mixed
 
 
-def _with_given_keys(fused: DataFrame, mixed: list[str], how: str) -> DataFrame:
+def _with_kept_given_keys(fused: DataFrame, mixed: list[str], how: str) -> DataFrame:
+    """After a join, keep the given key of the side that a USING join takes it from."""
     for key in mixed:
-        left, right = (F.col(quoted(prefix + key)) for prefix in _GIVEN)
+        left, right = F.col(quoted(_GIVEN + key)), F.col(quoted(_GIVEN_RIGHT + key))
         if how == "outer":
-            given = F.coalesce(left.cast("string"), right.cast("string"))
+            left, right = left.cast("string"), right.cast("string")
+            given = F.coalesce(left, right)
         else:
             given = right if how == "right" else left
-        fused = fused.withColumn(key, given).drop(*(prefix + key for prefix in _GIVEN))
+        fused = fused.withColumn(_GIVEN + key, given).drop(_GIVEN_RIGHT + key)
     return fused
 
 
