@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import weftline
 from weftline.scratch import new_folder
 
 #: Characters that separate words: space and the ASCII controls from tab to carriage return.
@@ -51,3 +55,17 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver found it, as --py-files would."""
+    context = spark.sparkContext
+    if getattr(context, "_weftline_shipped", False):
+        return
+    root = Path(weftline.__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="weftline-py-")) / "weftline_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._weftline_shipped = True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import quality_rules
+from weftline.llm import near_duplicates, quality_rules
 from weftline.llm.common import table
 
 BASE_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -18,6 +18,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *BASE_COUNTS, "base_failed", "kept")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates.classify(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    kept = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return classes.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+
+
 def _ladder_sql() -> str:
     score = {
         "symbols_per_word": "n_symbols / greatest(n_words, 1)",
@@ -89,6 +95,7 @@ NUMBERED = """numbered AS (
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_near_duplicates": op3_near_duplicates,
 }
 
 ORACLE_SQL = {
