@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import near_duplicates, quality_rules
+from weftline.llm import decontaminate, mixing, near_duplicates, quality_rules, token_store
 from weftline.llm.common import table
+from weftline.scratch import new_folder
 
 BASE_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -18,12 +19,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *BASE_COUNTS, "base_failed", "kept")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select("row.doc_id", "epoch")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicates.classify(table(spark, sf_dir, "documents"), carry=["doc_id"])
     kept = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
     return classes.select("doc_id", "class_id", "class_size", kept.alias("kept"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-store")
+    docs = table(spark, sf_dir, "documents")
+    return token_store.digests(spark, docs, folder, tokenizer_path())
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]
+    )
+    listed = F.array_join(F.col("item_ids").cast("array<string>"), ",")
+    return judged.select("row.doc_id", "contaminated", "n_items", listed.alias("item_ids"))
+
+
 def _ladder_sql() -> str:
     score = {
         "symbols_per_word": "n_symbols / greatest(n_words, 1)",
@@ -95,7 +121,10 @@ NUMBERED = """numbered AS (
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op7_token_store": op7_token_store,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE_SQL = {
