@@ -1,9 +1,10 @@
 """Byte-level BPE of whole texts with the ``tokenizers`` library, each distinct piece once.
 
-The pre-tokenizer of these vocabularies always starts a new pre-token at a space between two
-characters that are not white space, so a text may be cut there without changing its ids. Pieces
-repeat, so a worker keeps what it has encoded, up to a bound. Any other kind of tokenizer gets
-whole texts.
+The pre-tokenizer of these vocabularies starts a new pre-token at every space that stands between
+two other characters, and makes a lone line break a pre-token of its own, so a text may be cut
+there without changing its ids. Pieces repeat, and a worker keeps what it has encoded, up to a
+bound; new pieces are encoded many at a time, one to a line. Texts with other white space are cut
+only at lone spaces. Any other kind of tokenizer gets whole texts.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from functools import lru_cache
 
 import numpy as np
 
-CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces that one Python worker keeps; more are encoded anew. About 200 bytes each.
-KEPT_PIECES = 500_000
+LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: White space besides space and line break, and the mark that cuts.
+OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
+OTHER_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Pieces that one Python worker keeps, about 200 bytes each; more are encoded anew.
+KEPT_PIECES = 800_000
+LINES = 2000
 
 
 class PieceEncoder:
-    """Maps texts to packed arrays; ``pack`` turns one library encoding into bytes."""
+    """Encodes texts to arrays: token ids, or (first, end) character positions with ``spans``."""
 
-    def __init__(self, path: str, pack, fast: bool):
+    def __init__(self, path: str, spans: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -38,51 +44,119 @@ class PieceEncoder:
             and not before.get("add_prefix_space", True)
             and not spec.get("normalizer")
         )
-        self.run = self.tokenizer.encode_batch_fast if fast else self.tokenizer.encode_batch
-        self.pack = pack
+        self.spans = spans
         self.known: dict[str, bytes] = {}
+        if self.cuts:
+            self.line_break = self._run(["\n"])[0].ids
+            self.known["\n"] = self._values(self._run(["\n"])[0]).tobytes()
+
+    def _run(self, texts: list[str]):
+        encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
+        return encode(texts, add_special_tokens=False)
+
+    def _values(self, encoding) -> np.ndarray:
+        values = encoding.offsets if self.spans else encoding.ids
+        return np.array(values, dtype="<u4").reshape((-1, 2) if self.spans else -1)
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Is all white space lone spaces and lone line breaks inside the text?"""
+        return (
+            not any(run in text for run in RUNS)
+            and text[:1] not in (" ", "\n")
+            and text[-1:] not in (" ", "\n")
+            and not any(mark in text for mark in OTHER_ASCII)
+            and (text.isascii() or not OTHER_WIDE.search(text))
+        )
 
-    def pieces(self, text: str) -> list[str]:
-        return CUT.split(text) if self.cuts else [text]
-
-    def table(self, pieces: set[str]) -> dict[str, bytes]:
-        """A mapping that holds at least ``pieces``."""
-        new = list(pieces.difference(self.known))
-        if not new:
-            return self.known
-        found = {
-            piece: self.pack(one)
-            for piece, one in zip(new, self.run(new, add_special_tokens=False), strict=True)
-        }
-        if len(self.known) + len(found) <= KEPT_PIECES:
-            self.known.update(found)
-            return self.known
-        found.update((piece, self.known[piece]) for piece in pieces.intersection(self.known))
-        return found
-
-
-def _pack_ids(encoding) -> bytes:
-    return np.array(encoding.ids, dtype="<u4").tobytes()
-
-
-def _pack_spans(encoding) -> bytes:
-    return np.array(encoding.offsets, dtype="<u4").tobytes()
-
-
-@lru_cache(maxsize=2)
-def id_encoder(path: str) -> PieceEncoder:
-    """Packs token ids as little-endian unsigned 32-bit integers."""
-    return PieceEncoder(path, _pack_ids, fast=True)
-
-
-@lru_cache(maxsize=2)
-def span_encoder(path: str) -> PieceEncoder:
-    """Packs (first, end) character positions of tokens, within the piece."""
-    return PieceEncoder(path, _pack_spans, fast=False)
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        if not self.cuts or not text:
+            return [text], False
+        if self._plain(text):
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"), True
+        return LONE_SPACE.split(text), False
+
+    def _encode_lines(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces without line breaks, joined by them: their ids show where each piece ends."""
+        out = {}
+        for begin in range(0, len(pieces), LINES):
+            some = pieces[begin : begin + LINES]
+            encoding = self._run(["\n".join(some)])[0]
+            values = self._values(encoding)
+            ends = np.flatnonzero(np.array(encoding.ids) == self.line_break[0]).tolist()
+            first, chars = 0, 0
+            for piece, end in zip(some, [*ends, len(values)], strict=True):
+                out[piece] = (values[first:end] - np.uint32(chars * self.spans)).tobytes()
+                first, chars = end + 1, chars + len(piece) + 1
+        return out
+
+    def _shift(self, value: bytes, by: int) -> bytes:
+        return (np.frombuffer(value, "<u4") + np.uint32(by)).tobytes() if self.spans else value
+
+    def _encode_new(self, pieces: set[str], plain: bool) -> dict[str, bytes]:
+        if not plain:
+            new = list(pieces)
+            found = zip(new, self._run(new), strict=True)
+            return {piece: self._values(one).tobytes() for piece, one in found}
+        out, rest = {}, []
+        for piece in pieces:
+            # a mark after a letter is a pre-token of its own; the word may be known without it
+            if piece[-1] in ".,;:!?" and piece[-2:-1].isalpha():
+                word, mark = self.known.get(piece[:-1]), self.known.get(piece[-1])
+                if mark is None:
+                    mark = self._values(self._run([piece[-1]])[0]).tobytes()
+                    self.known[piece[-1]] = mark
+                if word is not None:
+                    out[piece] = word + self._shift(mark, len(piece) - 1)
+                    continue
+            rest.append(piece)
+        out.update(self._encode_lines(rest))
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
+        """Per text its pieces and the packed values of each."""
+        cut = [self._cut(text) for text in texts]
+        get = self.known.get
+        got = [list(map(get, pieces)) for pieces, _ in cut]
+        extra: dict[str, bytes] = {}
+        for plain in (True, False):
+            new = {
+                piece
+                for (pieces, kind), values in zip(cut, got, strict=True)
+                if kind is plain and None in values
+                for piece, value in zip(pieces, values, strict=True)
+                if value is None and piece not in extra
+            }
+            if new:
+                extra.update(self._encode_new(new, plain))
+        if extra and len(self.known) < KEPT_PIECES:
+            self.known.update(extra)
+        if extra:
+            got = [
+                [extra[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
+                if None in values
+                else values
+                for (pieces, _), values in zip(cut, got, strict=True)
+            ]
+        return [(pieces, values) for (pieces, _), values in zip(cut, got, strict=True)]
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, spans: bool = False) -> PieceEncoder:
+    return PieceEncoder(path, spans)
 
 
 def encode_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    encoder = id_encoder(path)
-    cut = [encoder.pieces(text) for text in texts]
-    get = encoder.table(set().union(*cut)).__getitem__
-    return [np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") for pieces in cut]
+    found = encoder(path).encode(texts)
+    return [np.frombuffer(b"".join(values), dtype="<u4") for _, values in found]
+
+
+def encode_spans(texts: list[str], path: str) -> list[np.ndarray]:
+    """(tokens x 2) first and end character of each token in the whole text."""
+    out = []
+    for pieces, values in encoder(path, True).encode(texts):
+        spans = np.frombuffer(b"".join(values), dtype="<u4").reshape(-1, 2).astype(np.int64)
+        starts = np.cumsum([0, *map(len, pieces)])[:-1]
+        counts = np.fromiter(map(len, values), np.int64, len(values)) // 8
+        out.append(spans + np.repeat(starts, counts)[:, None])
+    return out

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, near_duplicates, quality_rules, token_store
+from weftline.llm import (
+    classifier,
+    decontaminate,
+    mixing,
+    near_duplicates,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    token_store,
+    toxicity,
+    url_filter,
+)
 from weftline.llm.common import table
 from weftline.scratch import new_folder
 
@@ -36,6 +47,33 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "class_size", kept.alias("kept"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = len(secret_scan.BASE_RULES)
+
+    def count(rule: secret_scan.Rule):
+        mine = F.filter("spans", lambda s: s["kind"] == rule.kind)
+        return F.size(mine).cast("long").alias(f"n_{rule.kind}")
+
+    own = F.filter("spans", lambda s: s["rank"] < base)
+    return found.select(
+        "row.doc_id",
+        *[count(rule) for rule in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.span_list(own), 256).alias("base_sha256"),
+        secret_scan.span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), carry=["page_id"])
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classifier.score(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return scored.select("row.doc_id", "score", "kept")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-store")
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +88,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "contaminated", "n_items", listed.alias("item_ids"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.attribute(
+        table(spark, sf_dir, "documents"), tokenizer_path(), carry=["doc_id"]
+    )
+    return counted.select(
+        "row.doc_id",
+        "n_tokens",
+        F.size("section_tokens").cast("long").alias("n_sections"),
+        "n_crossing",
+        F.array_join(F.col("section_tokens").cast("array<string>"), ",").alias("section_tokens"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"]
+    )
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
 def _ladder_sql() -> str:
     score = {
         "symbols_per_word": "n_symbols / greatest(n_words, 1)",
@@ -119,16 +177,173 @@ NUMBERED = """numbered AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
          row_number() OVER () AS rid FROM documents)"""
 
+
+def _mixing_sql() -> str:
+    def weight(column: str, named: dict[str, int]) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in named.items())
+        return f"CASE {column} {cases} ELSE 1 END"
+
+    named = [mixing.DOMAIN_WEIGHTS, mixing.LANGUAGE_WEIGHTS, mixing.SOURCE_WEIGHTS]
+    steps, before = [], "(SELECT sum(tokens) * {} // {} AS budget FROM slim)".format(*mixing.KEEP)
+    for depth, (level, weights) in enumerate(zip(mixing.LEVELS, named, strict=True)):
+        path, parent = mixing.LEVELS[: depth + 1], mixing.LEVELS[:depth]
+        family = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        joined = f"JOIN {before} USING ({', '.join(parent)})" if parent else f", {before}"
+        steps.append(f"""
+n{depth} AS (
+  SELECT *, {weight(level, weights)}::HUGEINT AS weight FROM (
+    SELECT {', '.join(path)}, sum(tokens)::HUGEINT * {mixing.EPOCHS} AS lim FROM slim GROUP BY ALL)
+  {joined}),
+r{depth} AS (
+  SELECT *, budget - (sum(lim) OVER w - lim) AS rest,
+         sum(weight) OVER ({family}) - (sum(weight) OVER w - weight) AS weights,
+         row_number() OVER w AS rank
+  FROM n{depth} WINDOW w AS ({family} ORDER BY lim::DOUBLE / weight, {level}
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f{depth} AS (
+  SELECT {', '.join(parent) + ', ' if parent else ''}min(rank) AS short
+  FROM r{depth} WHERE lim * weights > rest * weight {'GROUP BY ALL' if parent else ''}),
+g{depth} AS (
+  SELECT {', '.join('r.' + p for p in path)},
+         CASE WHEN f.short IS NULL OR r.rank < f.short THEN r.lim
+              ELSE least(r.lim, greatest(s.rest, 0) * r.weight // s.weights) END AS budget
+  FROM r{depth} r LEFT JOIN f{depth} f ON {' AND '.join(f'f.{p} = r.{p}' for p in parent) or 'true'}
+  LEFT JOIN r{depth} s ON s.rank = f.short {''.join(f' AND s.{p} = r.{p}' for p in parent)})""")
+        before = f"g{depth}"
+    return f"""WITH slim AS (
+  SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS source,
+         CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'none'
+              ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 3) END AS domain,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                         lambda w: w <> '')) AS tokens
+  FROM documents),
+{','.join(steps).lstrip()},
+leaves AS (SELECT domain, language, source, sum(tokens) AS total FROM slim GROUP BY ALL),
+plan AS (SELECT *, budget // greatest(total, 1) AS whole,
+                budget - budget // greatest(total, 1) * total AS rest
+         FROM leaves JOIN g2 USING (domain, language, source)),
+ordered AS (
+  SELECT s.*, whole, rest, sum(tokens) OVER (
+    PARTITION BY domain, language, source
+    ORDER BY md5('{mixing.SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, ''))
+    RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM slim s JOIN plan USING (domain, language, source))
+SELECT doc_id, unnest(range(1, whole::BIGINT + (upto <= rest AND rest > 0)::BIGINT + 1)) AS epoch
+FROM ordered"""
+
+
+def _secret_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"""
+SELECT rid, {i} AS rank, '{rule.kind}' AS kind, {rule.least} AS least,
+       list_transform(string_split_regex(t, {quoted(rule.pattern)}), lambda x: len(x)) AS gaps,
+       list_transform(regexp_extract_all(t, {quoted(rule.pattern)}), lambda x: len(x)) AS sizes,
+       list_transform(regexp_extract_all(t, {quoted(rule.pattern)}, {rule.group}),
+                      lambda x: len(x)) AS checked
+FROM numbered WHERE regexp_matches(t, {quoted(rule.pattern)})"""
+        for i, rule in enumerate(secret_scan.RULES)
+    )
+    base = len(secret_scan.BASE_RULES)
+    joined = "string_agg(kind || ':' || (upto - size) || ':' || upto, ',' ORDER BY upto - size, rank)"
+    return f"""WITH numbered AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+found AS ({found}),
+each AS (SELECT rid, rank, kind, least, unnest(range(1, len(sizes) + 1)) AS i, gaps, sizes, checked
+         FROM found),
+spans AS (
+  SELECT rid, rank, kind, sizes[i] AS size, checked[i] >= least AS fits,
+         sum(gaps[i] + sizes[i]) OVER (PARTITION BY rid, rank ORDER BY i)::BIGINT AS upto
+  FROM each),
+lists AS (
+  SELECT rid, {joined} AS spans, coalesce({joined} FILTER (rank < {base}), '') AS base_spans,
+         count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+         count(*) FILTER (rank = 2) AS n_hex
+  FROM spans WHERE fits GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM numbered LEFT JOIN lists USING (rid)"""
+
+
+def _url_sql() -> str:
+    entries = [(e, v, True) for e, v in url_filter.RULES]
+    entries += [(e, "block", False) for e in url_filter.BLOCKED]
+    values = ", ".join(f"('{e}', '{v}', {str(r).upper()})" for e, v, r in entries)
+    return f"""WITH entries(entry, verdict, is_rule) AS (VALUES {values}),
+cut AS (
+  SELECT page_id, row_number() OVER () AS rid,
+         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, rid, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
+  FROM cut),
+fitting AS (
+  SELECT rid, entry, verdict, is_rule, row_number() OVER (
+    PARTITION BY rid ORDER BY is_rule DESC, length(entry) DESC) AS place
+  FROM parts JOIN entries
+    ON ends_with('.' || host, '.' || split_part(entry, '/', 1))
+   AND starts_with(path, substr(entry, strpos(entry, '/'))))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+       CASE WHEN is_rule THEN entry END AS rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (rid)"""
+
+
+def _leak_sql() -> str:
+    def side(relation: str, key: str) -> str:
+        masked = " UNION ALL ".join(
+            f"SELECT {key}, p, {k} AS mask, [" + ", ".join(f"w[p + {i}]" for i, b in enumerate(m) if b == "1")
+            + f"] AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - {len(m)} + 2)) AS p FROM {relation})"
+            for k, m in enumerate(decontaminate.MASKS)
+        )
+        return masked
+
+    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    size = f"least(len(i.w), {decontaminate.WINDOW})"
+    equal = "list_transform(range(lo, hi), lambda j: coalesce(j + shift >= 1 AND d.w[j + shift] = i.w[j], false)::INT)"
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {split} AS w FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS item, {split} AS w FROM benchmark),
+known AS ({side('i', 'item')}),
+asked AS ({side('d', 'rid')}),
+hits AS (SELECT DISTINCT rid, item, a.p - k.p AS shift, k.p AS p
+         FROM asked a JOIN known k USING (mask, seed)),
+laid AS (
+  SELECT rid, item, item_id, size, {equal} AS e
+  FROM (SELECT *, greatest(p - {size} + 1, 1) AS lo, least(p + {size}, len(i.w) + 1) AS hi,
+               {size} AS size FROM hits JOIN i USING (item)) AS i JOIN d USING (rid)),
+leaks AS (
+  SELECT DISTINCT rid, item, item_id FROM laid
+  WHERE list_max(list_transform(range(1, greatest(len(e) - size + 1, 1) + 1),
+                 lambda s: list_sum(e[s:s + size - 1]))) >= size * {decontaminate.TOLERANCE}),
+found AS (SELECT rid, count(*) AS n_items,
+                 array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids
+          FROM (SELECT DISTINCT * FROM leaks) GROUP BY rid)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
+       coalesce(item_ids, '') AS item_ids
+FROM d LEFT JOIN found USING (rid)"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": f"""WITH {NUMBERED}, {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
 FROM judged""",
+    "op2_mixing": _mixing_sql(),
+    "op4_secret_scan": _secret_sql(),
+    "op5_url_filter": _url_sql(),
+    "op8_decontamination": _leak_sql(),
 }
