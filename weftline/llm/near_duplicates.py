@@ -11,7 +11,7 @@
    bucket's largest component are then compared with all members outside their own component,
    so that no link between components is missed although no group is paired out in full. Two bits
    of every register go along as a sketch: pairs whose sketches agree in fewer places than a pair
-   at the threshold does (by over five standard deviations) are not formed.
+   at the threshold does (by 3.6 standard deviations) are not formed.
 4. The class of a row is the smallest doc_id in its component.
 
 Pairs are compared on the multisets of 64-bit shingle hashes. Labels, pairs and components are
@@ -36,8 +36,10 @@ BANDS = 32
 ROWS = 7
 #: Two bits of each register, 32 registers to a long.
 SKETCH_LONGS = BANDS * ROWS // 32
-#: Equal places of two sketches at similarity 0.8 have mean 190.4 and standard deviation 5.3.
-SKETCH_EQUAL = 162
+#: Equal places of two sketches at similarity 0.8 have mean 190.4 and standard deviation 5.3. Pairs
+#: at the mean are compared first, as they are likely to merge components; then those down to 3.6
+#: deviations below it, which leaves out one pair in 6,000 at the very threshold.
+SKETCH_LIKELY, SKETCH_EQUAL = 190, 171
 
 
 def text_key(text: Column) -> Column:
@@ -120,13 +122,13 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(places << shifts, axis=2).view(np.int64)
 
 
-def may_be_similar(a: Column, b: Column) -> Column:
+def may_be_similar(a: Column, b: Column, equal: int = SKETCH_EQUAL) -> Column:
     apart = F.lit(0)
     for i in range(SKETCH_LONGS):
         x = a[i].bitwiseXOR(b[i])
         odd = x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         apart = apart + F.bit_count(odd)
-    return apart <= BANDS * ROWS - SKETCH_EQUAL
+    return apart <= BANDS * ROWS - equal
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -229,6 +231,47 @@ def _with_root(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _crossing(members: DataFrame, labels: DataFrame, drawn: DataFrame, equal: int) -> DataFrame:
+    """Pairs (a, b) of likely enough nodes from one bucket but different components, of which at
+    least one is outside the bucket's largest component. A pair comes from its first bucket only."""
+    labelled = materialize(
+        _with_root(members.select("node", "bucket"), labels).select("bucket", "node", "root"),
+        "near-labelled",
+    )
+    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")
+    )
+    several = materialize(
+        main.where("parts > 1").select("bucket", F.col("top.root").alias("main")), "near-open"
+    )
+    # a pair need not share its first bucket as an open one with the same largest component, so
+    # the first one is sought among the open buckets of both nodes where one of them is outside
+    held = labelled.join(several, "bucket").withColumn("out", F.col("root") != F.col("main"))
+    outside = held.groupBy("node").agg(
+        F.collect_set("bucket").alias("open"),
+        F.collect_set(F.when(F.col("out"), F.col("bucket"))).alias("minor"),
+    )
+    held = materialize(
+        held.join(outside, "node").join(drawn.select("node", "sketch"), "node"), "near-held"
+    )
+    minor = held.where("out").select(
+        F.col("bucket").alias("in"),
+        *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "sketch", "open", "minor")],
+    )
+    apart = (F.col("a_root") != F.col("root")) & (~F.col("out") | (F.col("a_node") < F.col("node")))
+    near = may_be_similar(F.col("a_sketch"), F.col("sketch"), equal)
+    eligible = F.array_union(
+        F.array_intersect("a_minor", "open"), F.array_intersect("minor", "a_open")
+    )
+    first = F.array_min(eligible) == F.col("bucket")
+    return (
+        minor.join(held, (F.col("in") == F.col("bucket")) & apart & near & first)
+        .select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b"))
+        .distinct()
+    )
+
+
 def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``row`` (all columns, or ``carry``), ``doc_id``, ``class_id``, ``class_size``, ``root`` and
     ``n_first``, the number of rows of the class that bear ``class_id`` as their doc_id.
@@ -285,38 +328,14 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     labels = components(links)
 
     # what is left: buckets that still hold several components
-    labelled = materialize(
-        _with_root(members.select("node", "bucket"), labels).select("bucket", "node", "root"),
-        "near-labelled",
-    )
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")
-    )
-    several = materialize(
-        main.where("parts > 1").select("bucket", F.col("top.root").alias("main")), "near-open"
-    )
-    held = materialize(
-        labelled.join(several, "bucket").join(drawn, "node"), "near-held"
-    )
-    minor = held.where("root <> main").select(
-        F.col("bucket").alias("in"),
-        *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "sketch")],
-    )
-    apart = (F.col("a_root") != F.col("root")) & (
-        (F.col("root") == F.col("main")) | (F.col("a_node") < F.col("node"))
-    )
-    near = may_be_similar(F.col("a_sketch"), F.col("sketch"))
-    crossing = (
-        minor.join(held, (F.col("in") == F.col("bucket")) & apart & near)
-        .select(F.col("a_node").alias("a"), F.col("node").alias("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = verify(materialize(crossing, "near-pairs"), found)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    for equal in (SKETCH_LIKELY, SKETCH_EQUAL):
+        pairs = _crossing(members, labels, drawn, equal)
+        pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
+        stars = stars.union(pairs)
+        more = verify(pairs, found)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
 
     rooted = _with_root(nodes.select("node", "key", "first", "n"), labels)
     firsts = rooted.groupBy("root", "first.none", "first.doc_id").agg(
