@@ -9,7 +9,7 @@
 3. Registers are banded. In a bucket, all members are compared with the smallest one, and links
    of similarity 0.8 or more are joined to components. Members that are still outside their
    bucket's largest component are then compared with all members outside their own component,
-   so that no link between components is missed although no group is paired out in full. Two bits
+   so that no link between components is missed although no group is paired out in full. Four bits
    of every register go along as a sketch: pairs whose sketches agree in fewer places than a pair
    at the threshold does (by 3.6 standard deviations) are not formed.
 4. The class of a row is the smallest doc_id in its component.
@@ -34,12 +34,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 7
-#: Two bits of each register, 32 registers to a long.
-SKETCH_LONGS = BANDS * ROWS // 32
-#: Equal places of two sketches at similarity 0.8 have mean 190.4 and standard deviation 5.3. Pairs
-#: at the mean are compared first, as they are likely to merge components; then those down to 3.6
-#: deviations below it, which leaves out one pair in 6,000 at the very threshold.
-SKETCH_LIKELY, SKETCH_EQUAL = 190, 171
+#: Four bits of each register, 16 registers to a long.
+SKETCH_LONGS = BANDS * ROWS // 16
+#: Equal places of two sketches at similarity 0.8 have mean 182 and standard deviation 5.8. Likely
+#: pairs are compared first, as they merge components; then those down to 3.6 deviations below the
+#: mean, which leaves out one pair in 6,000 at the very threshold.
+SKETCH_LIKELY, SKETCH_EQUAL = (197, 182), 161
 
 
 def text_key(text: Column) -> Column:
@@ -116,9 +116,9 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
-    bits = mix(np.ascontiguousarray(signature).view(np.uint64)) & np.uint64(3)
-    places = bits.reshape(len(signature), SKETCH_LONGS, 32)
-    shifts = np.arange(0, 64, 2, dtype=np.uint64)
+    bits = mix(np.ascontiguousarray(signature).view(np.uint64)) & np.uint64(15)
+    places = bits.reshape(len(signature), SKETCH_LONGS, 16)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
     return np.bitwise_or.reduce(places << shifts, axis=2).view(np.int64)
 
 
@@ -126,7 +126,8 @@ def may_be_similar(a: Column, b: Column, equal: int = SKETCH_EQUAL) -> Column:
     apart = F.lit(0)
     for i in range(SKETCH_LONGS):
         x = a[i].bitwiseXOR(b[i])
-        odd = x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        half = x.bitwiseOR(F.shiftright(x, 1))
+        odd = half.bitwiseOR(F.shiftright(half, 2)).bitwiseAND(F.lit(0x1111111111111111))
         apart = apart + F.bit_count(odd)
     return apart <= BANDS * ROWS - equal
 
@@ -328,7 +329,7 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     labels = components(links)
 
     # what is left: buckets that still hold several components
-    for equal in (SKETCH_LIKELY, SKETCH_EQUAL):
+    for equal in (*SKETCH_LIKELY, SKETCH_EQUAL):
         pairs = _crossing(members, labels, drawn, equal)
         pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
         stars = stars.union(pairs)
