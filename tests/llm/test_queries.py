@@ -1,0 +1,37 @@
+"""Registered queries against their SQL; scorers against labels they did not see."""
+
+import os
+
+import duckdb
+import pytest
+
+from tests.llm.compare import multiset
+from weftline.llm.queries import ORACLE_SQL, QUERIES
+
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    connection = duckdb.connect()
+    for table in ("documents", "labels", "benchmark", "pages"):
+        path = f"{SF_DIR}/{table}.parquet"
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(name, spark, oracle):
+    result = QUERIES[name](spark, SF_DIR)
+    expected = oracle.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in expected.description]
+    assert sorted(result.columns) == sorted(columns)
+    assert multiset(result.columns, result.collect()) == multiset(columns, expected.fetchall())
+
+
+def test_classifier_keeps_good_documents(spark, oracle):
+    kept = {r.doc_id: r.kept for r in QUERIES["op6_quality_classifier"](spark, SF_DIR).collect()}
+    labels = oracle.execute("SELECT doc_id, quality FROM labels").fetchall()
+    good = [kept[d] for d, q in labels if q == 1]
+    bad = [kept[d] for d, q in labels if q == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)

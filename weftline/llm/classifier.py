@@ -104,10 +104,10 @@ def features(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def posteriors(voted: DataFrame) -> dict[str, float]:
     """Pattern of votes to the probability of a good document; all rows count."""
     patterns = voted.groupBy("votes").count().orderBy("votes").collect()  # 2^8 patterns at most
-    votes = np.array([[int(v) for v in p.votes] for p in patterns]).reshape(len(patterns), -1)
-    counts = np.array([p["count"] for p in patterns], dtype=float)
-    if not len(patterns):
+    if not patterns:
         return {}
+    votes = np.array([[int(v) for v in p.votes] for p in patterns])
+    counts = np.array([p["count"] for p in patterns], dtype=float)
     start = np.where((votes == 0).any(axis=1), 0.05, 0.95)
     found = label_model.fit(votes, counts, start=start, false_alarm=FALSE_ALARM)
     return {p.votes: float(q) for p, q in zip(patterns, found, strict=True)}
