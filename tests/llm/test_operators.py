@@ -217,7 +217,7 @@ def test_secret_scan(spark, empty):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.row.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan(docs).collect()}
     assert got[0] == [("assign", 0, 19), ("assign", 32, 44)]
-    assert got[1] == [("access", 2, 22), ("hex", 23, 47), ("github", 48, 76)]
+    assert got[1] == [("access", 2, 22), ("hex", 23, 47), ("github", 48, 76), ("hex", 52, 76)]
     assert got[2] == got[3] == got[4] == got[5] == []
     assert secret_scan.scan(empty).count() == 0
 
