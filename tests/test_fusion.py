@@ -54,7 +54,7 @@ def test_three_inputs_and_default_name(workspace, spark):
         [{"datasets_to_fuse": ["left", "right", "third.csv"], "fuse_by": "column",
           "fuse_on": "k"}],
     )
-    assert names == ["left_right_third"]
+    assert names == ["left_right_third.csv"]
     assert rows(workspace[names[0]]) == {(2, "b", "x", 9): 1, (2, "b", "x", 8): 1}
 
 

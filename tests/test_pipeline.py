@@ -119,5 +119,7 @@ def test_a_cluster_without_a_shared_folder_is_an_error(master):
 
 def test_driver_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
-    assert __spark_entry__.queries().keys() == QUERIES.keys()
-    assert set(__spark_entry__.oracle_sql()) <= set(ORACLE_SQL)
+    # queries of optional folders may come on top
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
+    assert ORACLE_SQL.keys() <= __spark_entry__.oracle_sql().keys()
+    assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.errors import FusionError, SpecError
-from weftline.functions.casting import is_fractional, is_integral, soft_cast
+from weftline.functions.casting import INTEGRAL_RANGE, is_fractional, is_integral, soft_cast
 from weftline.functions.columns import find_name, quoted, same_name
 from weftline.operators import skew
 from weftline.streaming.legality import check_join, check_union
@@ -24,10 +24,6 @@ def fusable_columns(workspace: Workspace, datasets: list[str]) -> list[str]:
     return [name for name, dtype in first if all((name, dtype) in other for other in others)]
 
 
-def default_name(datasets: list[str]) -> str:
-    return "_".join(name.split(".")[0] for name in datasets)
-
-
 def run_fusion(workspace: Workspace, steps: list[dict]) -> list[str]:
     """Run all steps in order; a later step may use an earlier step's output."""
     return [run_step(workspace, step) for step in steps]
@@ -37,7 +33,7 @@ def run_step(workspace: Workspace, step: dict) -> str:
     datasets = step.get("datasets_to_fuse")
     if not datasets or isinstance(datasets, str):
         raise SpecError("datasets_to_fuse must list the datasets")
-    name = step.get("fused_dataset_name") or default_name(datasets)
+    name = step.get("fused_dataset_name") or "_".join(datasets)
     if step.get("fuse_by") == "column":
         fused = fuse_columns(
             workspace,
@@ -98,10 +94,11 @@ _GIVEN, _GIVEN_RIGHT = "__given_", "__given_right_"
 def _with_typed_keys(
     inputs: list[DataFrame], keys: list[str]
 ) -> tuple[list[DataFrame], list[str]]:
-    """Where a key is text in some inputs only, compare it as the type of the others.
+    """Where a key is text in some inputs only, compare it as the widest type of the others.
 
-    Text that does not parse matches nothing, with ANSI mode on or off. The keys as given
-    travel along under other names.
+    Text whose value the type cannot hold exactly ("5.7" for whole numbers) or that does not parse
+    matches nothing, with ANSI mode on or off. The order of the inputs does not matter. The keys as
+    given travel along under other names.
     """
     types = [{f.name: f.dataType for f in df.schema} for df in inputs]
     mixed = []
@@ -111,11 +108,12 @@ def _with_typed_keys(
             continue
         mixed.append(key)
         col = F.col(quoted(key))
+        widest = _widest(others)
         inputs = [
             df.withColumns(
                 {
                     (_GIVEN_RIGHT if i else _GIVEN) + key: col,
-                    key: soft_cast(col, t[key], others[0]) if t[key] not in others else col,
+                    key: _exact_key(col, t[key], widest),
                 }
             )
             for i, (df, t) in enumerate(zip(inputs, types))
@@ -123,6 +121,25 @@ def _with_typed_keys(
     return inputs, mixed
 
 
+def _widest(types: list[T.DataType]) -> T.DataType:
+    """The type of the list that holds every whole number the others hold, or their values."""
+    if all(map(is_integral, types)):
+        return max(types, key=lambda t: INTEGRAL_RANGE[type(t)][1])
+    if all(map(_is_number, types)) and any(map(is_fractional, types)):
+        return T.DoubleType()
+    return types[0]
+
+
+def _exact_key(col: Column, given: T.DataType, target: T.DataType) -> Column:
+    if not isinstance(given, T.StringType):
+        return col if given == target else col.try_cast(target)
+    number = soft_cast(col, given, target)
+    if is_integral(target):
+        # the cast keeps the whole part; a fraction other than zeros is no whole number
+        return F.when(F.regexp_extract(col, r"\.([0-9]*)", 1).rlike("^0*$"), number)
+    return number
+
+
 def _with_kept_given_keys(fused: DataFrame, mixed: list[str], how: str) -> DataFrame:
     """After a join, keep the given key of the side that a USING join takes it from."""
     for key in mixed:

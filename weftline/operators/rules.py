@@ -63,6 +63,9 @@ def cast(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
 
 def rename(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
     old, new = _need(args, "source_reference", "data_reference")
+    taken = find_name(df, new)
+    if find_name(df, old) and taken and taken != find_name(df, old):
+        raise SpecError(f"there is a column {taken!r} already")
     return df.withColumnRenamed(old, new)
 
 
@@ -76,7 +79,7 @@ def drop(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
     names = [names] if isinstance(names, str) else list(names)
     if not names:
         raise SpecError("data_reference names no column")
-    if names[0] == "All":
+    if names == ["All"] and not find_name(df, "All"):
         names = df.columns
     if how == "column":
         return df.drop(*(name for name in map(lambda n: find_name(df, n), names) if name))

@@ -42,10 +42,11 @@ class Catalog:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
         """Read a catalog document from any place Spark can read."""
-        document = spark.read.text(path, wholetext=True).first()
-        if document is None:
-            raise SpecError(f"{path} is empty")
-        return cls.from_json(document.value)
+        documents = spark.read.text(path, wholetext=True).take(2)
+        if len(documents) != 1:
+            found = "several documents" if documents else "no document"
+            raise SpecError(f"{path} holds {found}, expected one")
+        return cls.from_json(documents[0].value)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2)

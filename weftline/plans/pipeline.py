@@ -1,7 +1,7 @@
 """Runs the layers of a pipeline: Source, then any mix of Processor, Fusion and Target.
 
-Source, Processor and Fusion layers extend logical plans; Target layers start the work, as
-batch writes or as streaming queries. Starting a stream does not block, so one session can run
+Source, Processor and Fusion layers extend logical plans, but for medians and look-ups of hot
+join keys, which run jobs; Target layers start the rest, as batch writes or streaming queries. Starting a stream does not block, so one session can run
 many pipelines.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.errors import PipelineError
+from weftline.errors import PipelineError, SpecError
 from weftline.operators.fusion import run_fusion
 from weftline.operators.rules import apply_rule
 from weftline.plans.catalog import check_layers
@@ -57,6 +57,11 @@ class PipelineResult:
             query.stop()
 
 
+def _has_streams(result: PipelineResult, target: dict) -> bool:
+    known = result.workspace.current
+    return any(d in known and known[d].isStreaming for d in target.get("datasets") or [])
+
+
 def run_pipeline(
     spark: SparkSession,
     layers: list[dict],
@@ -100,6 +105,8 @@ def run_pipeline(
                     layer.get("name", f"target_{targets}"),
                 )
                 targets += 1
+                if name.startswith("unnamed-") and output_dir and _has_streams(result, spec):
+                    raise SpecError("a pipeline that streams into output_dir needs a name")
                 exported = export(result.workspace, spec, place)
                 result.paths.update(exported.paths)
                 result.queries.extend(exported.queries)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from weftline.errors import SpecError
+from weftline.errors import SpecError, StreamError
 from weftline.operators.inspect import displayable
 from weftline.sinks.files import output_path, start_file_stream, write_files
 from weftline.sinks.jdbc import DEFAULT_TRIGGER, append_table, batch_writer, jdbc_options
@@ -63,6 +64,7 @@ def _export_one(
         file_format = (target.get("conversions") or {}).get(dataset)
         path = output_path(target.get("path", place.output_dir), dataset, str(file_format))
         if df.isStreaming:
+            _refuse_foreign_output(df.sparkSession, path, place.checkpoint(dataset))
             writer = start_file_stream(df, path, str(file_format))
             exported.queries.append(_start(writer, dataset, target, place))
         else:
@@ -70,7 +72,9 @@ def _export_one(
         exported.paths[dataset] = path
     elif target["type"] == "console":
         if df.isStreaming:
-            writer = df.writeStream.format("console")
+            writer = df.writeStream.format("console").option(
+                "numRows", int(target.get("rows", CONSOLE_ROWS))
+            )
             exported.queries.append(_start(writer, dataset, target, place))
         else:
             displayable(df).show(int(target.get("rows", CONSOLE_ROWS)))
@@ -85,6 +89,25 @@ def _export_one(
             write(df, 0)
 
 
+def _refuse_foreign_output(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Spark's file sink skips batches whose numbers its output folder lists already, so a stream
+    with new progress would lose rows in a folder that another stream, or lost progress, wrote."""
+    if _exists(spark, path) and not _exists(spark, f"{checkpoint}/commits"):
+        raise StreamError(
+            f"{path} holds files of a stream whose progress is not in {checkpoint}; its rows would "
+            "be skipped. Use another output folder, or the progress folder of that stream"
+        )
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark finds a file of any kind below a folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        return not found.load(folder).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def _start(
     writer: DataStreamWriter,
     dataset: str,

@@ -27,10 +27,13 @@ def read_transport(spark: SparkSession, spec: dict) -> DataFrame:
         return reader.format("kafka").options(**kafka_options(spec)).load()
     if origin == "files":
         kind = spec.get("file_format", "text")
-        reader = reader.format(kind).options(**spec.get("options", {}))
+        options = spec.get("options", {})
+        reader = reader.format(kind).options(**options)
         if kind != "text":
             # Streams do not infer schemas; take the one the files already carry.
-            reader = reader.schema(spark.read.format(kind).load(spec["path"]).schema)
+            reader = reader.schema(
+                spark.read.format(kind).options(**options).load(spec["path"]).schema
+            )
         return reader.load(spec["path"])
     raise SourceError(f"unknown stream_from {origin!r}, expected 'kafka' or 'files'")
 

@@ -12,6 +12,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from weftline.errors import PipelineError
 from weftline.plans.pipeline import PipelineResult, run_pipeline
 
 _SCHEMA = "pipeline string, event string, run string, at long"
@@ -48,14 +49,26 @@ class ActiveStreams:
         return {row.pipeline: json.loads(row.run) for row in rows}
 
     def resume(self) -> list[str]:
-        """Relaunch every active pipeline that this object does not run yet."""
-        resumed = []
+        """Relaunch every active pipeline that this object does not run yet.
+
+        One that fails does not keep the others from starting; failures are raised together at
+        the end.
+        """
+        resumed, failed = [], {}
         for name, run in sorted(self.active().items()):
-            if name not in self.running:
+            if name in self.running:
+                continue
+            try:
                 self.running[name] = run_pipeline(
                     self.spark, run["layers"], name, **run["places"]
                 )
                 resumed.append(name)
+            except PipelineError as error:
+                failed[name] = error
+        if failed:
+            reasons = "; ".join(f"{name}: {error}" for name, error in failed.items())
+            log = [entry for error in failed.values() for entry in error.log]
+            raise PipelineError(f"not resumed: {reasons}", log)
         return resumed
 
     def _note(self, rows: list[tuple]) -> None:
