@@ -162,3 +162,48 @@ def test_equal_rows_spread_too(spark):
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 8_000 and len(sizes) >= 3
+
+
+def _largest(df):
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).count()
+    return sizes.agg(F.max("count"), F.count("*")).first()
+
+
+@pytest.mark.parametrize("before", ["one partition", "same key"])
+def test_a_hot_key_in_one_partition_spreads(spark, before):
+    big = spark.range(0, 16_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("big"),
+    )
+    big = big.repartition(1) if before == "one partition" else big.repartition(8, "k")
+    small = spark.range(0, 16_000, 5).select(F.col("id").alias("k"), F.col("id").alias("small"))
+    small = small.union(spark.createDataFrame([(1, 1)], "k long, small long"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    counts = skew.find_hot_keys([big, small], ["k"], 500).counts
+    joined = skew.salted_join(big, small, ["k"], "left", *counts, 500)
+    largest, used = _largest(joined.where("k = 1"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert used >= 3 and largest < 6_000  # of the 16,001 rows of the key
+
+
+def test_a_key_that_is_hot_in_the_product_only(spark):
+    workspace = Workspace(spark)
+    for name in "ab":
+        workspace.add(name, spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias(name)))
+    workspace.add("c", spark.createDataFrame([(1, 5), (2, 6)], "k int, c int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    largest, used = _largest(fuse_columns(workspace, ["a", "b", "c"], "k", "inner", "salt", 1_000))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert used >= 3 and largest < 45_000  # of 90,000 rows
+
+
+def test_a_key_gets_cells_by_its_own_rows():
+    assert [skew._cells(n, 100, 200) for n in (100, 350, 10_000, 10**9)] == [2, 4, 128, 256]
+
+
+def test_a_hot_key_that_is_a_small_part_of_its_table(spark):
+    rare = spark.range(0, 1_200_000, 1, 8).select(
+        F.when(F.col("id") % 5_000 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
+    )
+    hot = skew.find_hot_keys([rare, rare.limit(10)], ["k"], 200)
+    assert hot.counts[0] == {-1: 240}

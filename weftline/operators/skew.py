@@ -21,13 +21,13 @@ from pyspark.sql import types as T
 from weftline.functions.casting import is_fractional, is_integral
 from weftline.functions.columns import quoted
 
-# The sketch is exact to within rows / (0.75 * SKETCH_ITEMS), which is below rows / HOT_SHARE.
-SKETCH_ITEMS = 8_192
-HOT_SHARE = 2_000
 HOT_ROWS = 1_000_000
-# A key with HOT_ROWS rows still has this many in the part of the rows that is sketched.
-SKETCHED_HOT_ROWS = 10_000
-MERGE_GROUPS = 512
+# A key with HOT_ROWS rows still has this many in the part of the rows that is counted.
+SAMPLED_HOT_ROWS = 10_000
+# An estimated count below this many sampled rows is too vague to multiply.
+SUPPORT = 20
+# The most hot keys that are handled, hottest first; the rest is left to adaptive execution.
+HOT_KEYS = 20_000
 
 _CELL = ("__left_cell", "__right_cell")
 _SEEN = ("__left_seen", "__right_seen")
@@ -35,7 +35,7 @@ _SEEN = ("__left_seen", "__right_seen")
 
 @dataclass
 class HotKeys:
-    """Row counts of every hot key in each input, by input position; None counts null keys."""
+    """Estimated rows of every hot key in each input, by position; None counts null keys."""
 
     counts: list[dict[object, int]] = field(default_factory=list)
 
@@ -116,67 +116,36 @@ def _is_small(df: DataFrame) -> bool:
     return int(str(statistics.sizeInBytes())) <= limit
 
 
-def _sketched(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> list[dict]:
-    """Candidates for hot keys per input with estimated counts, from one pass over the keys.
+def find_hot_keys(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> HotKeys:
+    """Rows, in every input, of the keys that are hot in an input or in the product of the inputs.
 
-    A share of the rows is enough to see keys this frequent; their exact counts follow later,
-    and a key that is missed costs balance, never rows. Sketches are merged in two steps, so
-    that no task merges one summary per input task.
+    One pass over the key columns counts a share of the rows, which is enough to see keys this
+    frequent whatever part of the table they are; with ``hot_rows`` up to ``SAMPLED_HOT_ROWS``
+    all rows count. A key that is missed costs balance, never rows.
     """
-    share = min(1.0, SKETCHED_HOT_ROWS / hot_rows)
+    share = min(1.0, SAMPLED_HOT_ROWS / hot_rows)
     sides = []
     for i, df in enumerate(inputs):
         df = df.select(*(quoted(key) for key in keys))
         df = df.sample(share, seed=11) if share < 1 else df
-        sides.append(df.select(F.lit(i).alias("side"), token(df, keys).alias("token")))
-    partial = reduce(DataFrame.unionByName, sides).groupBy(
-        "side", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")
-    )
-    merged = (
-        partial.agg(
-            F.expr(
-                f"approx_top_k_accumulate(token, {SKETCH_ITEMS}) FILTER (WHERE token IS NOT NULL)"
-            ).alias("sketch"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("token").isNull()).alias("nulls"),
-        )
-        .groupBy("side")
-        .agg(
-            F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
-            F.sum("n").alias("n"),
-            F.sum("nulls").alias("nulls"),
-        )
+        mine = [F.lit(int(i == j)).alias(f"n{j}") for j in range(len(inputs))]
+        sides.append(df.select(token(df, keys).alias("token"), *mine))
+    counted = reduce(DataFrame.unionByName, sides).groupBy("token").agg(
+        *(F.sum(f"n{j}").alias(f"n{j}") for j in range(len(inputs)))
     )
-    found: list[dict] = [{} for _ in inputs]
-    for row in merged.select(
-        "side", "n", "nulls", F.expr(f"approx_top_k_estimate(sketch, {HOT_SHARE})").alias("top")
-    ).collect():
-        threshold = max(row.n / HOT_SHARE, 0.9 * share * hot_rows)
-        items = [(None, row.nulls), *((item["item"], item["count"]) for item in row.top)]
-        found[row.side] = {key: int(n / share) for key, n in items if n >= threshold}
-    return found
-
-
-def find_hot_keys(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> HotKeys:
-    """Exact counts, in every input, of the keys that are hot in any input.
-
-    At most ``HOT_SHARE`` keys per input can be hot, so the result is small whatever the data.
-    """
-    sketched = _sketched(inputs, keys, hot_rows)
-    counts: list[dict] = [{None: found[None]} if None in found else {} for found in sketched]
-    hot = sorted({key for found in sketched for key in found if key is not None})
-    if hot:
-        sides = [
-            df.select(F.lit(i).alias("side"), token(df, keys).alias("token")).where(
-                F.col("token").isin(hot)
-            )
-            for i, df in enumerate(inputs)
-        ]
-        counted = reduce(DataFrame.unionByName, sides).groupBy("side", "token").count()
-        for row in counted.collect():
-            counts[row.side][row.token] = row["count"]
-    if all(n < hot_rows for side in counts for n in side.values()):
-        return HotKeys([{} for _ in inputs])
+    rows = [F.col(f"n{j}") / share for j in range(len(inputs))]
+    supported = [F.when(F.col(f"n{j}") >= SUPPORT, n).otherwise(1.0) for j, n in enumerate(rows)]
+    product = reduce(Column.__mul__, supported)
+    most = F.greatest(F.lit(0.0), *rows)
+    # null keys match nothing, so their numbers do not multiply
+    weight = F.when(F.col("token").isNull(), most).otherwise(F.greatest(most, product))
+    enough = hot_rows if share == 1 else 0.9 * hot_rows
+    hot = counted.where(weight >= enough).orderBy(weight.desc()).limit(HOT_KEYS).collect()
+    counts: list[dict] = [{} for _ in inputs]
+    for row in hot:
+        for side, n in zip(counts, row[1:]):
+            if n:
+                side[row.token] = int(n / share)
     return HotKeys(counts)
 
 
@@ -195,29 +164,61 @@ def joined_counts(left: dict, right: dict, how: str) -> dict:
     return result
 
 
+def _place(df: DataFrame, keys: list[str]) -> Column:
+    """A whole number that spreads rows: by what they hold and by the partition they are read in.
+
+    A recomputed task gives its rows the same numbers again. Fractional columns stay out, since a
+    sum may differ in its last bits when it is computed anew; maps cannot be hashed.
+    """
+    values = [
+        F.col(quoted(f.name))
+        for f in df.schema
+        if f.name not in keys and _hashable(f.dataType)
+    ]
+    return F.xxhash64(F.spark_partition_id(), *values)
+
+
+def _hashable(dtype: T.DataType) -> bool:
+    return (isinstance(dtype, (T.StringType, T.BooleanType, T.DatetimeType))) or is_integral(dtype)
+
+
+def _cells(n: int, hot_rows: int, partitions: int) -> int:
+    """Cells of a key with ``n`` rows: a power of two, no more than twice the shuffle partitions."""
+    wanted = max(2, min(ceil(n / hot_rows), partitions))
+    return 1 << (wanted - 1).bit_length()
+
+
+def _cells_of(t: Column, levels: dict[int, list]) -> Column | None:
+    """Cells of a row's key; null for keys that are not hot."""
+    found = None
+    for n, tokens in levels.items():
+        met = t.isin(tokens)
+        found = F.when(met, F.lit(n)) if found is None else found.when(met, F.lit(n))
+    return found
+
+
 def _spread(
-    df: DataFrame, keys: list[str], own: int, hot: list[list], cells: list[int]
+    df: DataFrame, keys: list[str], own: int, levels: list[dict[int, list]], null_cells: int
 ) -> DataFrame:
     """Give each row its cell on its own axis, and copies along the other side's axis.
 
-    The cell comes from the partition a row is read in: a recomputed task puts its rows into
-    the same cells again, and equal rows still spread. Rows with a null key match nothing;
-    they are spread over all cells without copies.
+    ``levels`` holds, per side, the hot keys by their number of cells. Rows with a null key match
+    nothing; they are spread over ``null_cells`` cells without copies.
     """
     other = 1 - own
     t = token(df, keys)
-    place = F.pmod(F.spark_partition_id(), F.lit(cells[own]))
-    own_cell = F.when(t.isin(hot[own]) | t.isNull(), place) if hot[own] else F.when(
-        t.isNull(), place
-    )
+    cells = _cells_of(t, levels[own])
+    cells = F.lit(None).cast("int") if cells is None else cells
+    cells = F.when(t.isNull(), F.lit(null_cells)).otherwise(cells)
     # Always 0, but not a literal: Spark would take "cell = 0" out of the keys it shuffles by.
     zero = F.pmod(F.hash(*(quoted(key) for key in keys)), F.lit(1))
-    df = df.withColumns({_CELL[own]: F.coalesce(own_cell, zero), _SEEN[own]: F.lit(True)})
-    if not hot[other]:
+    own_cell = F.coalesce(F.pmod(_place(df, keys), cells).cast("int"), zero)
+    df = df.withColumns({_CELL[own]: own_cell, _SEEN[own]: F.lit(True)})
+    if not levels[other]:
         return df.withColumn(_CELL[other], zero)
-    every_cell = F.sequence(F.lit(0), F.lit(cells[other] - 1))
-    copies = F.when(t.isin(hot[other]), every_cell).otherwise(F.array(F.lit(0)))
-    return df.withColumn(_CELL[other], F.explode(copies))
+    copies = F.coalesce(_cells_of(t, levels[other]), F.lit(1))
+    every_cell = F.sequence(F.lit(0), copies - F.lit(1))
+    return df.withColumn(_CELL[other], F.explode(every_cell))
 
 
 def salted_join(
@@ -231,18 +232,22 @@ def salted_join(
 ) -> DataFrame:
     """The same rows as ``left.join(right, keys, how)``."""
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot, cells, spread_nulls = [], [], False
+    hot, levels, null_rows = [], [], 0
     for counts, keeping in ((left_counts, ("left", "outer")), (right_counts, ("right", "outer"))):
         large = {key: n for key, n in counts.items() if n >= hot_rows}
-        wanted = ceil(max(large.values(), default=1) / hot_rows)
-        cells.append(max(2, min(wanted, partitions)))
-        spread_nulls |= None in large and how in keeping
-        hot.append(sorted(key for key in large if key is not None))
-    if not any(hot) and not spread_nulls:
+        null_rows = max(null_rows, large.pop(None, 0) if how in keeping else 0)
+        large.pop(None, None)
+        by_cells: dict[int, list] = {}
+        for key in sorted(large):
+            by_cells.setdefault(_cells(large[key], hot_rows, partitions), []).append(key)
+        levels.append(by_cells)
+        hot.append(sorted(large))
+    if not any(hot) and not null_rows:
         return left.join(right, on=keys, how=how)
 
-    joined = _spread(left, keys, 0, hot, cells).join(
-        _spread(right, keys, 1, hot, cells), on=[*keys, *_CELL], how=how
+    null_cells = _cells(null_rows, hot_rows, partitions)
+    joined = _spread(left, keys, 0, levels, null_cells).join(
+        _spread(right, keys, 1, levels, null_cells), on=[*keys, *_CELL], how=how
     )
     # A copied row may meet an empty cell and look unmatched. A key that is hot on the other
     # side does exist there, so such a row has its true match in another cell.
