@@ -39,7 +39,7 @@ SKETCH_LONGS = BANDS * ROWS // 16
 #: Equal places of two sketches at similarity 0.8 have mean 182 and standard deviation 5.8. Likely
 #: pairs are compared first, as they merge components; then those down to 3.6 deviations below the
 #: mean, which leaves out one pair in 6,000 at the very threshold.
-SKETCH_LIKELY, SKETCH_EQUAL = (197, 182), 161
+SKETCH_LIKELY, SKETCH_EQUAL = 182, 161
 
 
 def text_key(text: Column) -> Column:
@@ -122,14 +122,18 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(places << shifts, axis=2).view(np.int64)
 
 
-def may_be_similar(a: Column, b: Column, equal: int = SKETCH_EQUAL) -> Column:
+def may_be_similar(
+    a: Column, b: Column, equal: int = SKETCH_EQUAL, below: int | None = None
+) -> Column:
+    """Whether ``equal`` or more places of two sketches agree, and less than ``below``."""
     apart = F.lit(0)
     for i in range(SKETCH_LONGS):
         x = a[i].bitwiseXOR(b[i])
         half = x.bitwiseOR(F.shiftright(x, 1))
         odd = half.bitwiseOR(F.shiftright(half, 2)).bitwiseAND(F.lit(0x1111111111111111))
         apart = apart + F.bit_count(odd)
-    return apart <= BANDS * ROWS - equal
+    near = apart <= BANDS * ROWS - equal
+    return near if below is None else near & (apart > BANDS * ROWS - below)
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -232,9 +236,15 @@ def _with_root(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _crossing(members: DataFrame, labels: DataFrame, drawn: DataFrame, equal: int) -> DataFrame:
+def _crossing(
+    members: DataFrame, labels: DataFrame, drawn: DataFrame, equal: int, below: int | None
+) -> DataFrame:
     """Pairs (a, b) of likely enough nodes from one bucket but different components, of which at
-    least one is outside the bucket's largest component. A pair comes from its first bucket only."""
+    least one is outside the bucket's largest component. A pair comes from its first bucket only.
+
+    Components only grow, so pairs that are still apart were so in the round before, which has
+    compared those that agree in ``below`` places or more: they are not formed again.
+    """
     labelled = materialize(
         _with_root(members.select("node", "bucket"), labels).select("bucket", "node", "root"),
         "near-labelled",
@@ -261,7 +271,7 @@ def _crossing(members: DataFrame, labels: DataFrame, drawn: DataFrame, equal: in
         *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "sketch", "open", "minor")],
     )
     apart = (F.col("a_root") != F.col("root")) & (~F.col("out") | (F.col("a_node") < F.col("node")))
-    near = may_be_similar(F.col("a_sketch"), F.col("sketch"), equal)
+    near = may_be_similar(F.col("a_sketch"), F.col("sketch"), equal, below)
     eligible = F.array_union(
         F.array_intersect("a_minor", "open"), F.array_intersect("minor", "a_open")
     )
@@ -329,10 +339,9 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     labels = components(links)
 
     # what is left: buckets that still hold several components
-    for equal in (*SKETCH_LIKELY, SKETCH_EQUAL):
-        pairs = _crossing(members, labels, drawn, equal)
+    for equal, below in ((SKETCH_LIKELY, None), (SKETCH_EQUAL, SKETCH_LIKELY)):
+        pairs = _crossing(members, labels, drawn, equal, below)
         pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-        stars = stars.union(pairs)
         more = verify(pairs, found)
         if not more.isEmpty():
             links = links.union(more)
