@@ -135,9 +135,16 @@ def cast_int(spark, sf_dir):
     return apply_processes(df, [_cast("l_quantity", "int")])
 
 
-@query("SELECT p_partkey, TRY_CAST(p_name AS INT) AS p_name FROM part")
+@query("""
+    SELECT p_partkey,
+           TRY_CAST(CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END
+                    AS INT) AS p_name
+    FROM part
+""")
 def cast_bad_text_null(spark, sf_dir):
-    df = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    number = F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 2 == 0, number).otherwise(F.col("p_name"))
+    df = _table(spark, sf_dir, "part").select("p_partkey", name.alias("p_name"))
     return apply_processes(df, [_cast("p_name", "int")])
 
 
@@ -148,20 +155,21 @@ def cast_fraction_text(spark, sf_dir):
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber,
-           CAST(l_linenumber AS INT) AS as_int, CAST(l_linenumber AS VARCHAR) AS as_string,
-           CAST(l_linenumber AS DOUBLE) AS as_double, CAST(l_linenumber AS FLOAT) AS as_float,
-           CAST(l_linenumber AS BOOLEAN) AS as_bool,
-           CAST(l_linenumber AS BIGINT) AS as_timestamp,
-           CAST(l_linenumber AS BIGINT) AS as_long, CAST(l_linenumber AS SMALLINT) AS as_short,
-           CAST(l_linenumber AS TINYINT) AS as_byte
-    FROM lineitem
+    SELECT l_orderkey, l_linenumber, n,
+           CAST(n AS INT) AS as_int, CAST(n AS VARCHAR) AS as_string,
+           CAST(n AS DOUBLE) AS as_double, CAST(n AS FLOAT) AS as_float,
+           CAST(n AS BOOLEAN) AS as_bool, CAST(n AS BIGINT) AS as_timestamp,
+           CAST(n AS BIGINT) AS as_long, CAST(n AS SMALLINT) AS as_short,
+           TRY_CAST(n AS TINYINT) AS as_byte
+    FROM (SELECT l_orderkey, l_linenumber, l_linenumber * 50 - 100 AS n FROM lineitem)
 """)
 def cast_every_type(spark, sf_dir):
-    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    # negative, zero, and too large for a byte
+    n = (F.col("l_linenumber") * 50 - 100).alias("n")
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n)
     processes = []
     for name in CAST_TYPES:
-        processes += [_flatten("l_linenumber", f"as_{name}"), _cast(f"as_{name}", name)]
+        processes += [_flatten("n", f"as_{name}"), _cast(f"as_{name}", name)]
     # Shown as seconds since the epoch, which do not depend on the session's time zone.
     return apply_processes(df, processes).withColumn(
         "as_timestamp", F.unix_seconds("as_timestamp")
@@ -1178,7 +1186,7 @@ def stream_foreach_batch(spark, sf_dir):
         .start()
         .awaitTermination()
     )
-    return spark.read.parquet(path).withColumn("batch", F.col("batch") * 0)
+    return spark.read.parquet(path)
 
 
 @query("""
