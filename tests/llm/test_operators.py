@@ -240,6 +240,32 @@ def test_url_filter(spark, max_bytes):
     assert got[10] == ("com", "", None, "allow") and got[11] == ("b", "", None, "allow")
 
 
+SPAM = {
+    "http://m.adult-x.example.net/en/1": "block", "http://blog.adult-x.example.net": "block",
+    "http://www.Casino-Win.example.org/a": "block", "http://freecasinos.example.org/": "block",
+    "http://a.cheap-pills.b.example.org?q": "block", "http://spam-farm.example.org": "block",
+    "http://m.casino-win.example.com/fr/": "allow", "http://example.net/": "allow",
+    "http://sussex.example.org/": "allow", "http://best.casino/": "allow", "http://betterads.org/": "allow",
+    "http://www.adult-x.example.net/es/": "block", "nohost": "allow",
+}
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 30, 0], ids=["mapped", "joined"])
+def test_spam_hosts_of_the_pages_are_blocked(spark, max_bytes):
+    pages = spark.createDataFrame([(u,) for u in [*SPAM, *SPAM, None]], "url string")
+    listed = url_filter.spam_hosts(pages)
+    assert sorted(r.entry for r in listed.collect()) == [
+        "adult-x.example.net", "casino-win.example.com", "casino-win.example.org",
+        "cheap-pills.b.example.org", "freecasinos.example.org", "spam-farm.example.org",
+    ]
+    entries = url_filter.default_entries(spark).unionByName(listed)
+    got = url_filter.judge(pages, entries, max_bytes=max_bytes).collect()
+    assert len(got) == 2 * len(SPAM) + 1
+    for r in got:
+        assert r.verdict == SPAM.get(r.row.url, "allow"), r
+        assert (r.rule is not None) == (".com/" in (r.row.url or "") or "/es/" in (r.row.url or ""))
+
+
 def test_scorers_on_awkward_rows(docs, empty, labels):
     rows = classifier.score(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)

@@ -69,6 +69,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op5_url_filter_spam_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op5_url_filter`` with a block list of all marked hosts of the pages; the rules still win."""
+    pages = table(spark, sf_dir, "pages")
+    entries = url_filter.default_entries(spark).unionByName(url_filter.spam_hosts(pages))
+    judged = url_filter.judge(pages, entries, carry=["page_id"])
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classifier.score(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return scored.select("row.doc_id", "score", "kept")
@@ -291,6 +299,16 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
 FROM parts LEFT JOIN (SELECT * FROM fitting WHERE place = 1) USING (rid)"""
 
 
+def _spam_host_sql() -> str:
+    """Each host is judged by its own labels; no list is made."""
+    return f"""WITH fixed AS ({_url_sql()})
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NULL AND len(list_filter(string_split(host, '.')[:-2],
+                 lambda l: regexp_matches(l, '{url_filter.SPAM_LABEL}'))) > 0
+            THEN 'block' ELSE verdict END AS verdict
+FROM fixed"""
+
+
 def _leak_sql() -> str:
     def side(relation: str, key: str) -> str:
         masked = " UNION ALL ".join(
@@ -331,6 +349,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op5_url_filter_spam_hosts": op5_url_filter_spam_hosts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
@@ -345,5 +364,6 @@ FROM judged""",
     "op2_mixing": _mixing_sql(),
     "op4_secret_scan": _secret_sql(),
     "op5_url_filter": _url_sql(),
+    "op5_url_filter_spam_hosts": _spam_host_sql(),
     "op8_decontamination": _leak_sql(),
 }

@@ -39,6 +39,18 @@ RULES = [
 #: Hosts blocked where no rule fits.
 BLOCKED = ["spam-farm.example.org/"]
 
+#: Marks of spam hosts, by the usual categories of block lists. A mark is a whole word of a label.
+SPAM_WORDS = [
+    *("adult", "sex", "xxx", "escort", "escorts", "webcams"),
+    *("bet", "bets", "betting", "gambling", "poker", "slots", "lottery", "jackpot"),
+    *("pills", "pharma", "pharmacy", "cialis", "steroids"),
+    *("ads", "adserver", "popunder", "track", "tracker"),
+    *("spam", "spammer", "phishing", "malware", "warez"),
+]
+#: Marks also inside of a word: they are part of no usual one.
+SPAM_STEMS = ["casino", "porn", "viagra"]
+SPAM_LABEL = f"(^|[^a-z0-9])({'|'.join(SPAM_WORDS)})([^a-z0-9]|$)|{'|'.join(SPAM_STEMS)}"
+
 MAX_BYTES = 1 << 30
 ENTRIES = "entry string, verdict string, is_rule boolean"
 
@@ -56,6 +68,22 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(pick(1), string.ascii_uppercase, string.ascii_lowercase), pick(2)
 
 
+def spam_hosts(pages: DataFrame) -> DataFrame:
+    """Block entries for the spam hosts among all ``pages``: one per marked name, distinct.
+
+    An entry begins at the last marked label, so it fits all hosts below, whatever the path. The
+    top-level label is never one: ``x.casino`` must not block all that ends in ``.casino``.
+    """
+    labels = F.split(host_and_path(F.col("url"))[0], "[.]", -1)
+    marked = F.transform(
+        labels, lambda label, i: F.when(label.rlike(SPAM_LABEL) & (i < F.size(labels) - 1), i + 1)
+    )
+    last = F.array_max(marked)
+    entry = F.array_join(F.slice(labels, last, F.size(labels)), ".")
+    found = pages.select(F.when(last.isNotNull(), entry).alias("entry")).where("entry IS NOT NULL")
+    return found.distinct().select("entry", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
+
+
 def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
     labels = F.split(host, "[.]", -1)
     suffixes = F.transform(
