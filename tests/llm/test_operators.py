@@ -266,6 +266,25 @@ def test_spam_hosts_of_the_pages_are_blocked(spark, max_bytes):
         assert (r.rule is not None) == (".com/" in (r.row.url or "") or "/es/" in (r.row.url or ""))
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0], ids=["broadcast", "shuffled"])
+def test_items_without_a_seed_leak_if_copied_whole(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    items = [(1, "Who wrote Emma?"), (2, "who wrote emma"), (3, "这是一个问题。"), (4, "Emma wrote who"), (5, "?"),
+             (6, "one two three four five six"), (7, None), (None, "Who, wrote; Emma")]
+    texts = {
+        1: "Q: Who wrote Emma? Who wrote\nEMMA", 2: "who wrote the Emma", 3: "他说，这是一个问题。好", 4: "wrote Emma", 5: None,
+        6: "zero one two three four five six", 7: "one two three four five", 8: "", 9: "who wrote emma",
+    }
+    docs = spark.createDataFrame([*texts.items(), (9, "who wrote emma")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.judge(docs, benchmark).collect()
+    want = {1: (3, [1, 2]), 3: (1, [3]), 6: (1, [6]), 9: (3, [1, 2])}
+    assert len(got) == 10
+    for r in got:
+        assert (r.n_items, r.item_ids) == want.get(r.row.doc_id, (0, []))
+        assert r.contaminated == (r.row.doc_id in want)
+
+
 def test_scorers_on_awkward_rows(docs, empty, labels):
     rows = classifier.score(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)

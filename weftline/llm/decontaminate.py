@@ -6,8 +6,10 @@ each fixed mask and joined with the training windows. Around each hit, item and
 by side: the text leaks the item if, in some window of ``WINDOW`` tokens (the whole item, if it is
 shorter) that holds the hit, at least ``TOLERANCE`` of the aligned tokens are equal.
 
-Tokens are lower-case runs of letters and digits. Items with fewer tokens than the shortest mask
-cannot be told from ordinary text and match nothing. Built-in expressions only. The benchmark side
+Tokens are lower-case runs of letters and digits. Items with fewer tokens than the shortest mask have
+no seed: they leak where all their tokens follow each other in a text, without a substitution. In
+writing without spaces a run is one token, so such an item is found between marks or line ends, not
+within a longer run. Built-in expressions only. The benchmark side
 is broadcast if it has at most ``BROADCAST_SEEDS`` seeds (16 bytes each) and joined by a shuffle,
 whose hot partitions adaptive execution splits, if it has more; the result is the same.
 """
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import let, materialize, pack
 
 MASKS = ["1111111", "1101100111", "11100101011"]
+SHORTEST = min(map(len, MASKS))
 WINDOW = 20
 TOLERANCE = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -81,6 +84,27 @@ def _overlap(doc: Column, item: Column, pos: Column, item_pos: Column) -> Column
     return let(equal, best) >= length * TOLERANCE
 
 
+def _short_leaks(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The same for items without a seed, whose tokens are compared with windows of their length."""
+    short = items.where(F.size("item_h").between(1, SHORTEST - 1))
+    sizes = sorted(r.n for r in short.select(F.size("item_h").alias("n")).distinct().collect())
+    if not sizes:
+        return None
+
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("h") - n + 1)
+        return F.when(F.size("h") >= n, F.transform(starts, lambda i: F.slice("h", i, n)))
+
+    each = F.flatten(F.array_compact(F.array(*[windows(n) for n in sizes])))
+    asked = texts.select("doc_id", "text_hash", F.explode(each).alias("item_h"))
+    known = materialize(short.select("item_h").distinct(), "bench-short")  # items may share a text
+    known = F.broadcast(known) if known.count() <= BROADCAST_SEEDS else known
+    hits = asked.join(known, "item_h").groupBy("doc_id", "text_hash", "item_h").agg(
+        F.count(F.lit(1)).alias("n_hits")
+    )
+    return hits.join(short, "item_h").select("doc_id", "text_hash", "item", "item_id", "n_hits")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_hits): one row per text and benchmark item it leaks."""
     items = benchmark.select(
@@ -90,6 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = seeds(items, ["item"], "item_h").withColumnRenamed("pos", "item_pos")
     known = materialize(known, "bench-seeds")
     small = known.count() <= BROADCAST_SEEDS
+    all_items = items
     known, items = (F.broadcast(known), F.broadcast(items)) if small else (known, items)
     texts = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("h")
@@ -98,9 +123,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     close = hits.where(
         _overlap(F.col("h"), F.col("item_h"), F.col("pos"), F.col("item_pos"))
     )
-    return close.groupBy("doc_id", "text_hash", "item", "item_id").agg(
+    found = close.groupBy("doc_id", "text_hash", "item", "item_id").agg(
         F.count(F.lit(1)).alias("n_hits")
     )
+    short = _short_leaks(texts, all_items)
+    return found if short is None else found.unionByName(short)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None) -> DataFrame:
