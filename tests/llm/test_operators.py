@@ -222,6 +222,21 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_long_url_passwords_and_tokens_are_found(spark):
+    token = "github_pat_" + "1A" * 11 + "_" + "b2C" * 19 + "dE"  # 93 characters
+    texts = {
+        1: f"git clone https://x:{token}@example.com/a", 2: "ftp://" + "u" * 65 + ":" + "p" * 200 + "@b.org", 3: f"key {token}",
+        4: "http://u:" + "p" * 64 + "@h", 5: "http://u:short@h", 6: "http://u:" + "p" * 70 + "/@h", 7: "github_pat_short",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.row.doc_id: [(s.kind, texts[r.row.doc_id][s.start : s.end]) for s in r.spans] for r in secret_scan.scan(docs).collect()}
+    assert len(token) == 93
+    assert got[1] == [("url_password", f"://x:{token}@"), ("github_pat", token)]
+    assert got[2] == [("url_password", texts[2][3:-5])] and got[3] == [("github_pat", token)]
+    assert got[4] == [("url_password", texts[4][4:-1])] and got[6] == got[7] == []
+    assert got[5] == []
+
+
 URLS = [
     None, "", "nohost", "http://WWW.Example.com/en/a?x#y", "http://example.com/en/", "http://a.example.com/fr/",
     "https://x.net/es/1", "https://net/fr/", "http://spam-farm.example.org/z", "http://b.org", "x://com", "a://b?c/d",

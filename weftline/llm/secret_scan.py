@@ -56,8 +56,17 @@ MORE_RULES = [
     Rule("url_password", "://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._%+-]{6,64}@"),
 ]
 
+#: The rules of the SQL.
 RULES = BASE_RULES + MORE_RULES
 
+_URL_PASSWORD = Rule("url_password", "://[A-Za-z0-9._-]{1,}:[A-Za-z0-9._%+-]{6,}@")
+
+#: What is scanned by default: user and password of any length, and tokens by a longer prefix.
+ALL_RULES = [
+    *[_URL_PASSWORD if rule.kind == "url_password" else rule for rule in RULES],
+    Rule("github_pat", "github_pat_[A-Za-z0-9_]{20,}"),
+]
+
 #: Exact strings followed at once while a query is derived.
 MAX_STRINGS = 64
 
@@ -168,7 +177,7 @@ def candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def scan(
-    docs: DataFrame, rules: list[Rule] = RULES, carry: list[str] | None = None
+    docs: DataFrame, rules: list[Rule] = ALL_RULES, carry: list[str] | None = None
 ) -> DataFrame:
     """``row`` (all columns, or ``carry``) and ``spans``: array of (start, rank, kind, end), sorted.
 
