@@ -104,6 +104,35 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.keep_first(empty).count() == 0
 
 
+def _drifting_chains():
+    """Chains of copies, each with one to three words of the one before changed; some words repeat."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for chain in range(12):
+        words = [f"c{chain}x{i}" for i in rng.integers(0, 400, 100)]
+        words += words[:20]
+        for _ in range(15):
+            for at in rng.integers(0, len(words), rng.integers(1, 4)):
+                words[at] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_near_duplicates_equal_exact_components(spark):
+    texts = _drifting_chains()
+    bags = [Counter(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    smallest = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
+                low, high = sorted((smallest[a], smallest[b]))
+                smallest = [low if s == high else s for s in smallest]
+    assert 12 < len(set(smallest)) < len(texts) // 2  # chains break, and hold over several steps
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates.classify(docs).collect()}
+    assert got == dict(enumerate(smallest))
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 300).astype(np.uint64)

@@ -35,3 +35,14 @@ def test_classifier_keeps_good_documents(spark, oracle):
     good = [kept[d] for d, q in labels if q == 1]
     bad = [kept[d] for d, q in labels if q == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
+def test_toxicity_on_held_out_labels(spark, oracle):
+    scored = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, SF_DIR).collect()}
+    labels = oracle.execute("SELECT doc_id, max(toxic) FROM labels GROUP BY doc_id").fetchall()
+    unseen = [(scored[d].predicted, t) for d, t in labels if d in scored and scored[d].held_out]
+    toxic, clean = [p for p, t in unseen if t == 1], [p for p, t in unseen if t == 0]
+    counts = f"{sum(toxic)} of {len(toxic)} toxic found, {sum(clean)} of {len(clean)} clean flagged"
+    print("held out:", counts)
+    # a floor below what was measured on sf0.01, 10 of 18: this guards against a fall only
+    assert sum(toxic) >= 0.5 * len(toxic) > 0 and sum(clean) <= 0.02 * len(clean), counts
