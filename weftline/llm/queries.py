@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftline.llm import (
     classifier,
     decontaminate,
+    fill_middle,
+    jaccard_join,
     mixing,
     near_duplicates,
     quality_rules,
@@ -116,6 +118,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "row.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(whole, 256).alias("restored_sha256"),
+    )
+
+
 def _ladder_sql() -> str:
     score = {
         "symbols_per_word": "n_symbols / greatest(n_words, 1)",
@@ -343,6 +364,68 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_it
 FROM d LEFT JOIN found USING (rid)"""
 
 
+def _jaccard_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE texts AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, rid, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard_join.SHINGLE} THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - {jaccard_join.SHINGLE} + 2),
+                                      lambda i: w[i:i + {jaccard_join.SHINGLE - 1}])) END AS s
+  FROM texts),
+nodes AS (SELECT list_sort(s) AS s, len(s) AS n, min(rid) AS node FROM sets WHERE len(s) > 0
+          GROUP BY ALL),
+grams AS (SELECT node, n, unnest(s) AS gram FROM nodes),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM grams a JOIN grams b
+    ON a.gram = b.gram AND a.node < b.node
+   AND 100 * least(a.n, b.n) >= {jaccard_join.PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n
+  HAVING 100 * count(*) >= {jaccard_join.PERCENT} * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached(node, other) AS (
+  SELECT node, node FROM nodes
+  UNION SELECT r.node, e.b FROM reached r JOIN edges e ON e.a = r.other),
+of_rows AS (SELECT rid, doc_id, s, node FROM sets JOIN (SELECT s AS t, node FROM nodes) x
+              ON list_sort(sets.s) = x.t),
+lowest AS (SELECT r.node, min(o.doc_id) AS component_id
+           FROM reached r JOIN of_rows o ON o.node = r.other GROUP BY r.node)
+SELECT s.doc_id, len(s.s) AS n_shingles,
+       CASE WHEN o.node IS NULL THEN s.doc_id ELSE l.component_id END AS component_id
+FROM sets s LEFT JOIN of_rows o USING (rid) LEFT JOIN lowest l ON l.node = o.node"""
+
+
+def _fill_middle_sql() -> str:
+    numbers = ", ".join(
+        f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4)
+    )
+    marks = [fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE]
+    holds = " OR ".join(f"contains(t, '{mark}')" for mark in marks)
+    p, s, m = marks
+    return f"""WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, len(u) AS n, {numbers} FROM texts),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR {holds} OR h3 % 100 >= {fill_middle.CUT_SHARE} THEN 'plain'
+              WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST_SHARE} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+         array_to_string(u[b + 1:n], '') AS suffix FROM cut)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                   WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+                   ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -355,6 +438,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -366,4 +451,6 @@ FROM judged""",
     "op5_url_filter": _url_sql(),
     "op5_url_filter_spam_hosts": _spam_host_sql(),
     "op8_decontamination": _leak_sql(),
+    "op11_jaccard_join": _jaccard_sql(),
+    "op13_fill_middle": _fill_middle_sql(),
 }
