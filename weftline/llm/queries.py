@@ -9,6 +9,7 @@ from weftline.llm import (
     classifier,
     decontaminate,
     fill_middle,
+    hard_negatives,
     jaccard_join,
     mixing,
     near_duplicates,
@@ -123,6 +124,12 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"))
+    seventh = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", seventh), F.col("vec_id") % 100 == 0)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.transform(table(spark, sf_dir, "documents"), carry=["doc_id"])
     whole = fill_middle.restored(F.col("output"), F.col("form"))
@@ -397,6 +404,29 @@ SELECT s.doc_id, len(s.s) AS n_shingles,
 FROM sets s LEFT JOIN of_rows o USING (rid) LEFT JOIN lowest l ON l.node = o.node"""
 
 
+def _hard_negative_sql() -> str:
+    return """WITH vectors AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10"""
+
+
 def _fill_middle_sql() -> str:
     numbers = ", ".join(
         f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4)
@@ -439,6 +469,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_jaccard_join": op11_jaccard_join,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -452,5 +483,6 @@ FROM judged""",
     "op5_url_filter_spam_hosts": _spam_host_sql(),
     "op8_decontamination": _leak_sql(),
     "op11_jaccard_join": _jaccard_sql(),
+    "op12_hard_negatives": _hard_negative_sql(),
     "op13_fill_middle": _fill_middle_sql(),
 }
