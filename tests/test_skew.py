@@ -5,7 +5,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from weftline.operators import skew
-from weftline.operators.fusion import fuse_columns
+from weftline.operators.fusion import fuse_columns, run_fusion
 from weftline.workspace import Workspace
 
 HOWS = ["inner", "left", "right", "outer"]
@@ -76,12 +76,14 @@ def test_composite_keys_of_awkward_types(spark, how):
     _same(spark, {"left": left, "right": right}, ["k", "d", "t"], how)
 
 
-def test_hot_keys_are_found_with_exact_counts(spark):
-    left = _data(spark, 900, 1, "l")
-    right = spark.range(1, 50).select(F.col("id").alias("k"))
-    hot = skew.find_hot_keys([left, right], ["k"], 100)
-    assert hot.counts == [{1: 301}, {1: 1}]
-    assert not skew.find_hot_keys([left, right], ["k"], 1_000)
+def test_frequent_keys_of_a_summary(spark):
+    found = skew.summarize(_data(spark, 900, 1, "l"), ["k"])
+    assert found.heavy == {1: 301, None: 86} and found.light < 1.1
+    assert found.hot(300) and not found.hot(302)
+    doubled = skew.summarize(_data(spark, 900, 1, "l"), ["k"], F.lit(2.0))
+    assert doubled.heavy == {1: 602, None: 172}
+    empty = skew.summarize(_data(spark, 0, 1, "l"), ["k"])
+    assert empty.heavy == {} and not empty.hot(1)
 
 
 def test_joins_that_broadcast_need_no_lookup(spark, tmp_path):
@@ -104,12 +106,14 @@ def test_joins_that_broadcast_need_no_lookup(spark, tmp_path):
     assert not skew.broadcasts([large, small], "inner")
 
 
-def test_joined_counts():
-    left, right = {"a": 2, "b": 3, None: 4}, {"a": 5, "c": 7, None: 6}
-    assert skew.joined_counts(left, right, "inner") == {"a": 10}
-    assert skew.joined_counts(left, right, "left") == {"a": 10, "b": 3, None: 4}
-    assert skew.joined_counts(left, right, "right") == {"a": 10, "c": 7, None: 6}
-    assert skew.joined_counts(left, right, "outer") == {"a": 10, "b": 3, "c": 7, None: 10}
+def test_joined_summary():
+    left = skew.KeySummary({"a": 2, "b": 3, None: 4}, 1.5)
+    right = skew.KeySummary({"a": 5, "c": 7, None: 6}, 2.0)
+    inner = skew.joined_summary(left, right, "inner")
+    assert inner.heavy == {"a": 10, "b": 6, "c": 10.5} and inner.light == 3.0
+    assert skew.joined_summary(left, right, "left").heavy[None] == 4
+    assert skew.joined_summary(left, right, "right").heavy[None] == 6
+    assert skew.joined_summary(left, right, "outer").heavy[None] == 10
 
 
 @pytest.mark.parametrize("how", HOWS)
@@ -118,11 +122,11 @@ def test_hot_null_keys(spark, how):
         F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("l")
     )
     right = left.select((F.col("k") * 3).alias("k"), F.col("l").alias("r"))
-    hot = skew.find_hot_keys([left, right], ["k"], 100)
-    assert hot.counts == [{None: 150}, {None: 150}]
+    known = [skew.summarize(df, ["k"]) for df in (left, right)]
+    assert [side.heavy for side in known] == [{None: 150}, {None: 150}]
     _same(spark, {"left": left, "right": right, "again": left.select("k")}, "k", how, 100)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    df = skew.salted_join(left, right, ["k"], how, *hot.counts, 20)
+    df = skew.salted_join(left, right, ["k"], how, *known, 20)
     nulls = df.where("k IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(nulls) == 0 if how == "inner" else len(nulls) > 2
@@ -179,8 +183,8 @@ def test_a_hot_key_in_one_partition_spreads(spark, before):
     small = spark.range(0, 16_000, 5).select(F.col("id").alias("k"), F.col("id").alias("small"))
     small = small.union(spark.createDataFrame([(1, 1)], "k long, small long"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    counts = skew.find_hot_keys([big, small], ["k"], 500).counts
-    joined = skew.salted_join(big, small, ["k"], "left", *counts, 500)
+    known = [skew.summarize(df, ["k"]) for df in (big, small)]
+    joined = skew.salted_join(big, small, ["k"], "left", *known, 500)
     largest, used = _largest(joined.where("k = 1"))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert used >= 3 and largest < 6_000  # of the 16,001 rows of the key
@@ -205,5 +209,98 @@ def test_a_hot_key_that_is_a_small_part_of_its_table(spark):
     rare = spark.range(0, 1_200_000, 1, 8).select(
         F.when(F.col("id") % 5_000 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
     )
-    hot = skew.find_hot_keys([rare, rare.limit(10)], ["k"], 200)
-    assert hot.counts[0] == {-1: 240}
+    found = skew.summarize(rare, ["k"])
+    assert set(found.heavy) == {-1} and 240 <= found.heavy[-1] <= 240 + 3.5 / skew.TRACKED * 1.2e6
+
+
+@pytest.mark.parametrize("how", HOWS)
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_a_key_that_vanishes_after_planning(spark, tmp_path, how, side):
+    """The summary saw the key; when the join runs, one side does not hold it any more."""
+    full = _data(spark, 300, 1, "v")
+    folder = f"{tmp_path}/changing"
+    full.write.parquet(folder)
+    changing = spark.read.schema(full.schema).parquet(folder)
+    steady = _data(spark, 200, 1, "w")
+    workspace = Workspace(spark)
+    workspace.add("changing", changing)
+    workspace.add("steady", steady)
+    order = ["changing", "steady"] if side == "left" else ["steady", "changing"]
+    planned = fuse_columns(workspace, order, "k", how, "salt", 20)
+    assert "__left_cell" in planned._jdf.queryExecution().analyzed().toString()
+    full.where("k IS NULL OR k <> 1").write.mode("overwrite").parquet(folder)
+    spark.catalog.refreshByPath(folder)
+    left = spark.read.parquet(folder) if side == "left" else steady
+    right = steady if side == "left" else spark.read.parquet(folder)
+    # planned anew on the same files, with the cells that the old summary gave
+    fresh = Workspace(spark)
+    fresh.add("left", left)
+    fresh.add("right", right)
+    old = [skew.summarize(df, ["k"]) for df in ((full, steady) if side == "left" else (steady, full))]
+    run = skew.salted_join(left, right, ["k"], how, *old, 20)
+    assert rows(run) == rows(fuse_columns(fresh, ["left", "right"], "k", how, "adaptive"))
+
+
+def _five_steps(spark, hot_rows, how="left"):
+    workspace = Workspace(spark)
+    n = 4_000
+    third = F.when(F.col("id") % 3 == 0, F.lit(0))
+    workspace.add("a", spark.range(n).select(
+        "id", third.otherwise(F.col("id")).alias("b"), (F.col("id") % 50).alias("c")
+    ))
+    workspace.add("bs", spark.range(n // 2).select(
+        F.col("id").alias("b"), third.otherwise(F.col("id") % 200).alias("d")
+    ))
+    workspace.add("cs", spark.range(50).select(F.col("id").alias("c"), (F.col("id") % 2).alias("e")))
+    workspace.add("ds", spark.range(300).select(F.col("id").alias("d"), F.col("id").alias("f")))
+    workspace.add("es", spark.range(3).select(F.col("id").alias("e"), F.lit("x").alias("g")))
+    workspace.add("fs", spark.range(300).select(F.col("id").alias("f"), F.lit("y").alias("h")))
+    before = "a"
+    for i, (table, key) in enumerate([("bs", "b"), ("cs", "c"), ("ds", "d"), ("es", "e"), ("fs", "f")]):
+        run_fusion(workspace, [{
+            "fused_dataset_name": f"s{i}", "datasets_to_fuse": [before, table], "fuse_by": "column",
+            "fuse_on": key, "fuse_how": how, "hot_rows": hot_rows,
+        }])
+        before = f"s{i}"
+    return workspace[before]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_look_ups_of_a_chain_run_no_join(spark, monkeypatch, how):
+    asked = []
+    plain = skew.summarize
+
+    def watched(df, keys, weight=None):
+        asked.append(df._jdf.queryExecution().analyzed().toString())
+        return plain(df, keys, weight)
+
+    monkeypatch.setattr("weftline.operators.lineage.summarize", watched)
+    salted = _five_steps(spark, 100, how)
+    assert asked and not any("Join" in plan for plan in asked)
+    plan = salted._jdf.queryExecution().analyzed().toString()
+    assert plan.count("__left_cell") > 0
+    # one join per step; those beside them look up the few hot keys that a side holds
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert sum("__held" not in line for line in joins) == 5
+    expected = _five_steps(spark, 10**9, how)
+    assert rows(salted) == rows(expected)
+
+
+def test_a_chain_knows_how_often_earlier_joins_repeat_a_row(spark):
+    workspace = Workspace(spark)
+    workspace.add("a", spark.range(100).select(
+        F.when(F.col("id") < 10, F.lit(-1)).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") < 10, F.lit(7)).otherwise(F.col("id") + 100).alias("m"),
+    ))
+    many = spark.range(64).select(F.lit(-1).alias("k"), F.col("id").alias("v"))
+    workspace.add("b", many.union(spark.range(10, 100).select("id", "id")))
+    run_fusion(workspace, [{
+        "fused_dataset_name": "ab", "datasets_to_fuse": ["a", "b"], "fuse_by": "column", "fuse_on": "k",
+    }])
+    lineage = workspace.lineage("ab")
+    assert lineage.summary(["k"]).heavy[-1] == 640
+    assert lineage.summary(["m"]).heavy[7] == 640
+    # every row of b with the frequent key met ten rows of a: to the next power of two
+    assert lineage.summary(["v"]).light > 1
+    workspace.update("ab", workspace["ab"].where("m <> 7"))
+    assert workspace.lineage("ab") is None

@@ -72,8 +72,11 @@ def soft_cast(col: Column, source: T.DataType, target: T.DataType) -> Column:
 
     Text with a fraction becomes its whole part when cast to an integral type ("5.7" is 5).
     Text is matched against a pattern first: a cast that fails throws inside Spark even where
-    ``try_cast`` hides it, which costs tens of times more than the match.
+    ``try_cast`` hides it, which costs tens of times more than the match. For the same reason
+    numbers are compared with the range of a narrower type first.
     """
+    if is_integral(target) and _is_number(source):
+        return _number_to_integral(col, source, target)
     if not isinstance(source, T.StringType):
         return col.try_cast(target)
     if is_integral(target):
@@ -88,6 +91,28 @@ def soft_cast(col: Column, source: T.DataType, target: T.DataType) -> Column:
     return col.try_cast(target)
 
 
+def _is_number(dtype: T.DataType) -> bool:
+    return is_integral(dtype) or is_fractional(dtype) or isinstance(dtype, T.DecimalType)
+
+
+def _number_to_integral(col: Column, source: T.DataType, target: T.DataType) -> Column:
+    low, high = INTEGRAL_RANGE[type(target)]
+    if is_integral(source):
+        if INTEGRAL_RANGE[type(source)][1] <= high:
+            return col.try_cast(target)
+        return F.when(col.between(low, high), col.try_cast(target))
+    if is_fractional(source):
+        # a fraction is cut off, so what lies between high and high + 1 fits; both bounds are
+        # powers of two (or half a step off), which every fractional type holds
+        value = col.cast("double")
+        above = value > float(low) - 1 if low > -(2**53) else value >= float(low)
+        return F.when(above & (value < float(high + 1)), col.try_cast(target))
+    if source.precision - source.scale < len(str(high)):
+        return col.try_cast(target)
+    inside = (col > F.lit(Decimal(low - 1))) & (col < F.lit(Decimal(high + 1)))
+    return F.when(inside, col.try_cast(target))
+
+
 def reformat_date(col: Column, parse_pattern: str, emit_pattern: str) -> Column:
     """Parse with one pattern, emit text in another; null where the text does not parse."""
     if parse_pattern.startswith("EEE "):

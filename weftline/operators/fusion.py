@@ -12,10 +12,12 @@ from weftline.errors import FusionError, SpecError
 from weftline.functions.casting import INTEGRAL_RANGE, is_fractional, is_integral, soft_cast
 from weftline.functions.columns import find_name, quoted, same_name
 from weftline.operators import skew
+from weftline.operators.lineage import Lineage, joined
 from weftline.streaming.legality import check_join, check_union
 from weftline.workspace import Workspace
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
+SKEW_MODES = ("salt", "always", "adaptive")
 
 
 def fusable_columns(workspace: Workspace, datasets: list[str]) -> list[str]:
@@ -35,7 +37,7 @@ def run_step(workspace: Workspace, step: dict) -> str:
         raise SpecError("datasets_to_fuse must list the datasets")
     name = step.get("fused_dataset_name") or "_".join(datasets)
     if step.get("fuse_by") == "column":
-        fused = fuse_columns(
+        fused, lineage = _fuse_columns(
             workspace,
             datasets,
             step.get("fuse_on"),
@@ -43,9 +45,10 @@ def run_step(workspace: Workspace, step: dict) -> str:
             step.get("skew", "salt"),
             int(step.get("hot_rows", skew.HOT_ROWS)),
         )
+        workspace.add(name, fused)
+        workspace.lineages[name] = (fused, lineage)
     else:
-        fused = fuse_rows(workspace, datasets)
-    workspace.add(name, fused)
+        workspace.add(name, fuse_rows(workspace, datasets))
     return name
 
 
@@ -57,35 +60,70 @@ def fuse_columns(
     skew_mode: str = "salt",
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
-    """Left fold of joins on shared columns: keys first, then left and right columns."""
+    """Left fold of joins on shared columns: keys first, then left and right columns.
+
+    ``skew_mode`` is ``salt`` (spread hot keys of joins that Spark will not broadcast), ``always``
+    (of all joins) or ``adaptive`` (leave them to adaptive execution).
+    """
+    return _fuse_columns(workspace, datasets, on, how, skew_mode, hot_rows)[0]
+
+
+def _fuse_columns(
+    workspace: Workspace,
+    datasets: list[str],
+    on: str | list[str] | None,
+    how: str | None,
+    skew_mode: str,
+    hot_rows: int,
+) -> tuple[DataFrame, Lineage]:
     how = how or "inner"
     keys = [on] if isinstance(on, str) else list(on or [])
     if not keys:
         raise FusionError("fuse_on names no column; a Cartesian product is not offered")
     if how not in JOIN_TYPES:
         raise FusionError(f"unknown fuse_how {how!r}, expected one of {JOIN_TYPES}")
-    if skew_mode not in ("salt", "adaptive"):
-        raise FusionError(f"unknown skew {skew_mode!r}, expected 'salt' or 'adaptive'")
+    if skew_mode not in SKEW_MODES:
+        raise FusionError(f"unknown skew {skew_mode!r}, expected one of {SKEW_MODES}")
 
-    inputs = [_with_keys(workspace[name], keys, name) for name in datasets]
-    inputs, mixed = _with_typed_keys(inputs, keys)
-    hot = skew.HotKeys([{} for _ in inputs])
-    if skew_mode == "salt" and skew.comparable(inputs, keys) and not skew.broadcasts(inputs, how):
-        hot = skew.find_hot_keys(inputs, keys, hot_rows)
+    given = [_with_keys(workspace[name], keys, name) for name in datasets]
+    inputs, mixed = _with_typed_keys(given, keys)
+    lineages = [
+        _lineage(workspace, name, df, keys, mixed) for name, df in zip(datasets, inputs)
+    ]
+    spread = skew_mode == "always" or (
+        skew_mode == "salt" and not skew.broadcasts(inputs, how)
+    )
+    spread = spread and skew.comparable(inputs, keys)
 
-    fused, counts = inputs[0], hot.counts[0]
-    for right, name, right_counts in zip(inputs[1:], datasets[1:], hot.counts[1:]):
+    fused, lineage = inputs[0], lineages[0]
+    for right, name, right_lineage in zip(inputs[1:], datasets[1:], lineages[1:]):
         check_join(fused, right, keys, how)
-        right = _without_clashes(fused, right, keys, name)
-        if hot:
-            fused = skew.salted_join(fused, right, keys, how, counts, right_counts, hot_rows)
-            counts = skew.joined_counts(counts, right_counts, how)
+        right, renamed = _without_clashes(fused, right, keys, name)
+        right_lineage = right_lineage.renamed(renamed)
+        sides = (lineage.summary(keys), right_lineage.summary(keys)) if spread else (None, None)
+        if None not in sides and any(side.hot(hot_rows) for side in sides):
+            fused = skew.salted_join(fused, right, keys, how, *sides, hot_rows)
         else:
             fused = fused.join(right, on=keys, how=how)
+        lineage = joined(lineage, right_lineage, keys, how)
         fused = _with_kept_given_keys(fused, mixed, how)
     for key in mixed:
         fused = fused.withColumn(key, F.col(quoted(_GIVEN + key))).drop(_GIVEN + key)
-    return fused
+    # keys as given differ from those that were compared
+    return fused, lineage.without([*mixed, *(_GIVEN + key for key in mixed)])
+
+
+def _lineage(
+    workspace: Workspace, name: str, df: DataFrame, keys: list[str], mixed: dict[str, bool]
+) -> Lineage:
+    """What is known of a dataset as it enters a join; one that no fusion made is an import."""
+    known = workspace.lineage(name)
+    if known is None:
+        return Lineage.of_import(df)
+    spelled = {}
+    for key in keys:
+        spelled.update({c: key for c in workspace[name].columns if same_name(df, c, key)})
+    return known.renamed(spelled).without(list(mixed))
 
 
 _GIVEN, _GIVEN_RIGHT = "__given_", "__given_right_"
@@ -93,22 +131,29 @@ _GIVEN, _GIVEN_RIGHT = "__given_", "__given_right_"
 
 def _with_typed_keys(
     inputs: list[DataFrame], keys: list[str]
-) -> tuple[list[DataFrame], list[str]]:
-    """Where a key is text in some inputs only, compare it as the widest type of the others.
-
-    Text whose value the type cannot hold exactly ("5.7" for whole numbers) or that does not parse
-    matches nothing, with ANSI mode on or off. The order of the inputs does not matter. The keys as
-    given travel along under other names.
+) -> tuple[list[DataFrame], dict[str, bool]]:
+    """Where the types of a key differ so that Spark would compare rounded values, compare exactly.
+
+    That is where text meets numbers or other types, and where fractional numbers meet whole or
+    decimal ones. Keys become the narrowest type that holds the values of all inputs that are no
+    text; a key whose value that type cannot hold exactly ("5.7" for whole numbers), or that does
+    not parse, matches nothing, with ANSI mode on or off. The order of the inputs does not matter.
+    The keys as given travel along under other names. Also tells, per such key, if there is text.
     """
     types = [{f.name: f.dataType for f in df.schema} for df in inputs]
-    mixed = []
+    mixed = {}
     for key in keys:
-        others = [t[key] for t in types if not isinstance(t[key], T.StringType)]
-        if not 0 < len(others) < len(inputs):
+        own = [t[key] for t in types]
+        others = [t for t in own if not isinstance(t, T.StringType)]
+        text_meets = 0 < len(others) < len(own)
+        fractions_meet = all(map(_is_number, own)) and (
+            0 < sum(map(is_fractional, own)) < len(own)
+        )
+        if not (text_meets or fractions_meet):
             continue
-        mixed.append(key)
+        mixed[key] = text_meets
         col = F.col(quoted(key))
-        widest = _widest(others)
+        widest = _widest(key, others)
         inputs = [
             df.withColumns(
                 {
@@ -121,31 +166,70 @@ def _with_typed_keys(
     return inputs, mixed
 
 
-def _widest(types: list[T.DataType]) -> T.DataType:
-    """The type of the list that holds every whole number the others hold, or their values."""
+_INTEGRAL_DIGITS = 19
+
+
+def _widest(key: str, types: list[T.DataType]) -> T.DataType:
+    """The type that holds the values of all the types; doubles hold what they can exactly."""
+    if all(t == types[0] for t in types):
+        return types[0]
     if all(map(is_integral, types)):
         return max(types, key=lambda t: INTEGRAL_RANGE[type(t)][1])
-    if all(map(_is_number, types)) and any(map(is_fractional, types)):
+    if not all(map(_is_number, types)):
+        return types[0]
+    if any(map(is_fractional, types)):
         return T.DoubleType()
-    return types[0]
+    scale = max(t.scale for t in types if isinstance(t, T.DecimalType))
+    whole = max(
+        t.precision - t.scale if isinstance(t, T.DecimalType) else _INTEGRAL_DIGITS for t in types
+    )
+    if whole + scale > 38:
+        raise FusionError(f"no decimal type holds all values of key {key!r}: cast it first")
+    return T.DecimalType(whole + scale, scale)
 
 
 def _exact_key(col: Column, given: T.DataType, target: T.DataType) -> Column:
-    if not isinstance(given, T.StringType):
-        return col if given == target else col.try_cast(target)
-    number = soft_cast(col, given, target)
+    if isinstance(given, T.StringType):
+        return _exact_text_key(col, target)
+    if given == target:
+        return col
+    if is_fractional(target) and not is_fractional(given):
+        number = col.cast(target)
+        back = number.cast(T.DecimalType(38, _scale(given)))
+        return F.when(back == col, number)
+    return col.try_cast(target)
+
+
+def _scale(dtype: T.DataType) -> int:
+    return dtype.scale if isinstance(dtype, T.DecimalType) else 0
+
+
+def _exact_text_key(col: Column, target: T.DataType) -> Column:
+    number = soft_cast(col, T.StringType(), target)
     if is_integral(target):
         # the cast keeps the whole part; a fraction other than zeros is no whole number
         return F.when(F.regexp_extract(col, r"\.([0-9]*)", 1).rlike("^0*$"), number)
+    if isinstance(target, T.DecimalType):
+        # a cast would round further digits away, and throws for what is no number
+        pattern = rf"^\s*[+-]?([0-9]+(\.[0-9]{{0,{target.scale}}}0*)?|\.[0-9]{{1,{target.scale}}}0*)\s*$"
+        if not target.scale:
+            pattern = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
+        return F.when(col.rlike(pattern), number)
+    if is_fractional(target):
+        # whole numbers that a double would round
+        whole = F.when(col.rlike(r"^\s*[+-]?[0-9]{16,38}\s*$"), col)
+        kept = number.cast("double").cast("decimal(38,0)") == whole.try_cast("decimal(38,0)")
+        return F.when(whole.isNull() | kept, number)
     return number
 
 
-def _with_kept_given_keys(fused: DataFrame, mixed: list[str], how: str) -> DataFrame:
+def _with_kept_given_keys(fused: DataFrame, mixed: dict[str, bool], how: str) -> DataFrame:
     """After a join, keep the given key of the side that a USING join takes it from."""
-    for key in mixed:
+    for key, has_text in mixed.items():
         left, right = F.col(quoted(_GIVEN + key)), F.col(quoted(_GIVEN_RIGHT + key))
         if how == "outer":
-            left, right = left.cast("string"), right.cast("string")
+            if has_text:
+                left, right = left.cast("string"), right.cast("string")
             given = F.coalesce(left, right)
         else:
             given = right if how == "right" else left
@@ -164,7 +248,9 @@ def _with_keys(df: DataFrame, keys: list[str], dataset: str) -> DataFrame:
     return df
 
 
-def _without_clashes(left: DataFrame, right: DataFrame, keys: list[str], dataset: str):
+def _without_clashes(
+    left: DataFrame, right: DataFrame, keys: list[str], dataset: str
+) -> tuple[DataFrame, dict[str, str]]:
     """Suffix the right side's non-key columns whose names the left side already uses."""
     taken = list(left.columns)
     renamed = {}
@@ -177,7 +263,7 @@ def _without_clashes(left: DataFrame, right: DataFrame, keys: list[str], dataset
         taken.append(new)
         if new != name:
             renamed[name] = new
-    return right.withColumnsRenamed(renamed) if renamed else right
+    return (right.withColumnsRenamed(renamed) if renamed else right), renamed
 
 
 def fuse_rows(workspace: Workspace, datasets: list[str]) -> DataFrame:

@@ -2,16 +2,18 @@
 
 Adaptive execution splits a skewed partition only between two plain shuffles, and only on the
 kept side of an outer join: not for a full outer join, not when one input is an aggregate or
-another join on the same key. So unless a join will broadcast, hot keys are looked up first.
-If there are none, the plain join is used. Otherwise, the rows of a hot key are spread over
-several cells and the other side's rows of that key are copied into each cell, for hot keys
-only. Rows with null keys, which match nothing, are spread as well.
+another join on the same key. So unless a join will broadcast, hot keys are looked up first, in
+summaries of the imports (``lineage``). If there are none, the plain join is used. Otherwise, the
+rows of a hot key are spread over several cells and the other side's rows of that key are copied
+into each cell, for hot keys only. Rows with null keys, which match nothing, are spread as well.
+
+Summaries decide balance only. Whether a copied row without a match is kept follows from the keys
+that the other side holds when the join runs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -22,25 +24,24 @@ from weftline.functions.casting import is_fractional, is_integral
 from weftline.functions.columns import quoted
 
 HOT_ROWS = 1_000_000
-# A key with HOT_ROWS rows still has this many in the part of the rows that is counted.
-SAMPLED_HOT_ROWS = 10_000
-# An estimated count below this many sampled rows is too vague to multiply.
-SUPPORT = 20
-# The most hot keys that are handled, hottest first; the rest is left to adaptive execution.
-HOT_KEYS = 20_000
+# Keys a summary tracks. Every key with more than about 1 in 18,000 rows is among them, whatever the
+# size of the table: the sketch is off by at most 3.5 / TRACKED of all rows.
+TRACKED = 65_536
 
 _CELL = ("__left_cell", "__right_cell")
 _SEEN = ("__left_seen", "__right_seen")
 
 
 @dataclass
-class HotKeys:
-    """Estimated rows of every hot key in each input, by position; None counts null keys."""
+class KeySummary:
+    """What is known of the keys of a dataset: estimated rows of the frequent ones (None counts null
+    keys), and the mean rows of a key among the others."""
 
-    counts: list[dict[object, int]] = field(default_factory=list)
+    heavy: dict[object, float] = field(default_factory=dict)
+    light: float = 1.0
 
-    def __bool__(self) -> bool:
-        return any(self.counts)
+    def hot(self, hot_rows: int) -> bool:
+        return any(n >= hot_rows for n in self.heavy.values())
 
 
 def token(df: DataFrame, keys: list[str]) -> Column:
@@ -116,52 +117,50 @@ def _is_small(df: DataFrame) -> bool:
     return int(str(statistics.sizeInBytes())) <= limit
 
 
-def find_hot_keys(inputs: list[DataFrame], keys: list[str], hot_rows: int) -> HotKeys:
-    """Rows, in every input, of the keys that are hot in an input or in the product of the inputs.
+def summarize(df: DataFrame, keys: list[str], weight: Column | None = None) -> KeySummary:
+    """Frequent keys of ``df``, each row counting ``weight`` times (a power of two, or nothing).
 
-    One pass over the key columns counts a share of the rows, which is enough to see keys this
-    frequent whatever part of the table they are; with ``hot_rows`` up to ``SAMPLED_HOT_ROWS``
-    all rows count. A key that is missed costs balance, never rows.
+    One pass over the key columns with a mergeable sketch of frequent items per weight: what is
+    shuffled and what comes back is bounded by ``TRACKED`` for each of the few weights.
     """
-    share = min(1.0, SAMPLED_HOT_ROWS / hot_rows)
-    sides = []
-    for i, df in enumerate(inputs):
-        df = df.select(*(quoted(key) for key in keys))
-        df = df.sample(share, seed=11) if share < 1 else df
-        mine = [F.lit(int(i == j)).alias(f"n{j}") for j in range(len(inputs))]
-        sides.append(df.select(token(df, keys).alias("token"), *mine))
-    counted = reduce(DataFrame.unionByName, sides).groupBy("token").agg(
-        *(F.sum(f"n{j}").alias(f"n{j}") for j in range(len(inputs)))
+    weight = F.lit(1.0) if weight is None else weight
+    counted = (
+        df.select(token(df, keys).alias("token"), weight.alias("weight"))
+        .groupBy("weight")
+        .agg(
+            F.count("*").alias("n"),
+            F.approx_count_distinct("token").alias("keys"),
+            F.expr(f"approx_top_k(token, {TRACKED}, {TRACKED})").alias("top"),
+        )
+        .withColumn("least", F.greatest(F.lit(2.0), 3.5 / TRACKED * F.col("n")))
+        .withColumn("top", F.filter("top", lambda x: x["count"] >= F.col("least")))
+        .collect()
     )
-    rows = [F.col(f"n{j}") / share for j in range(len(inputs))]
-    supported = [F.when(F.col(f"n{j}") >= SUPPORT, n).otherwise(1.0) for j, n in enumerate(rows)]
-    product = reduce(Column.__mul__, supported)
-    most = F.greatest(F.lit(0.0), *rows)
-    # null keys match nothing, so their numbers do not multiply
-    weight = F.when(F.col("token").isNull(), most).otherwise(F.greatest(most, product))
-    enough = hot_rows if share == 1 else 0.9 * hot_rows
-    hot = counted.where(weight >= enough).orderBy(weight.desc()).limit(HOT_KEYS).collect()
-    counts: list[dict] = [{} for _ in inputs]
-    for row in hot:
-        for side, n in zip(counts, row[1:]):
-            if n:
-                side[row.token] = int(n / share)
-    return HotKeys(counts)
-
-
-def joined_counts(left: dict, right: dict, how: str) -> dict:
-    """Rows per hot key after a join, from the rows on both sides."""
-    result = {}
-    for key in left.keys() | right.keys():
-        l, r = left.get(key, 0), right.get(key, 0)
-        matched = l * r if key is not None else 0
-        if matched:
-            result[key] = matched
-            continue
-        kept = (l if how in ("left", "outer") else 0) + (r if how in ("right", "outer") else 0)
-        if kept:
-            result[key] = kept
-    return result
+    heavy: dict[object, float] = {}
+    rows = distinct = 0.0
+    for row in counted:
+        for item, n in row.top:
+            heavy[item] = heavy.get(item, 0.0) + n * row.weight
+        rows += row.n * row.weight
+        distinct += row["keys"]
+    rest = max(rows - sum(heavy.values()), 0.0)
+    return KeySummary(heavy, max(1.0, rest / max(distinct - len(heavy), 1.0)))
+
+
+def joined_summary(left: KeySummary, right: KeySummary, how: str) -> KeySummary:
+    """Rows per key after a join, from the rows on both sides."""
+    result: dict[object, float] = {}
+    for key in left.heavy.keys() | right.heavy.keys():
+        l, r = left.heavy.get(key), right.heavy.get(key)
+        if key is None:
+            kept = ((l or 0) if how in ("left", "outer") else 0) + (
+                (r or 0) if how in ("right", "outer") else 0
+            )
+            if kept:
+                result[key] = kept
+        else:
+            result[key] = (left.light if l is None else l) * (right.light if r is None else r)
+    return KeySummary(result, left.light * right.light)
 
 
 def _place(df: DataFrame, keys: list[str]) -> Column:
@@ -226,15 +225,15 @@ def salted_join(
     right: DataFrame,
     keys: list[str],
     how: str,
-    left_counts: dict,
-    right_counts: dict,
+    left_keys: KeySummary,
+    right_keys: KeySummary,
     hot_rows: int,
 ) -> DataFrame:
-    """The same rows as ``left.join(right, keys, how)``."""
+    """The same rows as ``left.join(right, keys, how)``, whatever the summaries say."""
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot, levels, null_rows = [], [], 0
-    for counts, keeping in ((left_counts, ("left", "outer")), (right_counts, ("right", "outer"))):
-        large = {key: n for key, n in counts.items() if n >= hot_rows}
+    for known, keeping in ((left_keys, ("left", "outer")), (right_keys, ("right", "outer"))):
+        large = {key: n for key, n in known.heavy.items() if n >= hot_rows}
         null_rows = max(null_rows, large.pop(None, 0) if how in keeping else 0)
         large.pop(None, None)
         by_cells: dict[int, list] = {}
@@ -249,14 +248,29 @@ def salted_join(
     joined = _spread(left, keys, 0, levels, null_cells).join(
         _spread(right, keys, 1, levels, null_cells), on=[*keys, *_CELL], how=how
     )
-    # A copied row may meet an empty cell and look unmatched. A key that is hot on the other
-    # side does exist there, so such a row has its true match in another cell.
     if how in ("left", "outer") and hot[1]:
-        joined = joined.where(_keep(token(joined, keys), hot[1], F.col(_SEEN[1])))
+        joined = _without_empty_copies(joined, right, keys, 1, hot[1])
     if how in ("right", "outer") and hot[0]:
-        joined = joined.where(_keep(token(joined, keys), hot[0], F.col(_SEEN[0])))
+        joined = _without_empty_copies(joined, left, keys, 0, hot[0])
     return joined.drop(*_CELL, *_SEEN)
 
 
-def _keep(t: Column, hot: list, seen: Column) -> Column:
-    return ~F.coalesce(t.isin(hot), F.lit(False)) | seen.isNotNull()
+def _without_empty_copies(
+    joined: DataFrame, side: DataFrame, keys: list[str], axis: int, hot: list
+) -> DataFrame:
+    """Leave out copies that met an empty cell of ``side``.
+
+    A row of a hot key was copied into every cell of ``side``. If ``side`` holds the key now, the
+    row has its matches in one of them, and copies without a match go; if it does not, the row has
+    no match, and its copy in the first cell stays. The keys that ``side`` holds are looked up in the
+    same run; they are no more than the listed ones, so they are broadcast.
+    """
+    held = side.select(token(side, keys).alias("__held")).where(F.col("__held").isin(hot))
+    held = F.broadcast(held.distinct())
+    t = token(joined, keys)
+    empty = F.col(_SEEN[axis]).isNull() & F.coalesce(t.isin(hot), F.lit(False))
+    marked = joined.withColumn("__asked", F.when(empty, t)).join(
+        held, F.col("__asked") == F.col("__held"), "left"
+    )
+    vanished = F.col("__held").isNull() & (F.col(_CELL[axis]) == 0)
+    return marked.where(F.col("__asked").isNull() | vanished).drop("__asked", "__held")

@@ -821,7 +821,7 @@ def fuse_left_hot_keys(spark, sf_dir):
     workspace = _events_and_types(spark, sf_dir)
     return _fuse(
         workspace, "types", "events",
-        fuse_by="column", fuse_on="event_type", fuse_how="left", hot_rows=50,
+        fuse_by="column", fuse_on="event_type", fuse_how="left", hot_rows=50, skew="always",
     )
 
 
@@ -847,9 +847,114 @@ def fuse_three_way_hot_keys(spark, sf_dir):
     return _fuse(
         workspace, "events", "types", "peaks",
         fuse_by="column", fuse_on="event_type", fuse_how="inner", hot_rows=50,
+        skew="always",
     )
 
 
+@query("""
+    SELECT l_orderkey, l_partkey, l_suppkey, o_custkey, c_nationkey, l_linenumber, l_quantity,
+           o_totalprice, c_acctbal, p_brand, s_name, n_name
+    FROM lineitem
+    LEFT JOIN orders ON o_orderkey = l_orderkey
+    LEFT JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN part ON p_partkey = l_partkey
+    LEFT JOIN supplier ON s_suppkey = l_suppkey
+    LEFT JOIN nation ON n_nationkey = c_nationkey
+""")
+def fuse_five_steps(spark, sf_dir):
+    """Five joins by five keys, each spread by summaries of the imports that a key comes from."""
+    workspace = _workspace(
+        spark, sf_dir, "lineitem", "orders", "customer", "part", "supplier", "nation"
+    )
+    keep = {
+        "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"],
+        "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+        "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+        "part": ["p_partkey", "p_brand"],
+        "supplier": ["s_suppkey", "s_name"],
+        "nation": ["n_nationkey", "n_name"],
+    }
+    for name, columns in keep.items():
+        workspace.update(name, workspace[name].select(*columns))
+    names = {
+        "orders": ("o_orderkey", "l_orderkey"),
+        "customer": ("c_custkey", "o_custkey"),
+        "part": ("p_partkey", "l_partkey"),
+        "supplier": ("s_suppkey", "l_suppkey"),
+        "nation": ("n_nationkey", "c_nationkey"),
+    }
+    steps, before = [], "lineitem"
+    for table, (own, key) in names.items():
+        apply_rule(workspace, {table: [_rename(own, key)]})
+        steps.append({
+            "fused_dataset_name": f"with_{table}", "datasets_to_fuse": [before, table],
+            "fuse_by": "column", "fuse_on": key, "fuse_how": "left", "hot_rows": 2_000,
+            "skew": "always",
+        })
+        before = f"with_{table}"
+    run_fusion(workspace, steps)
+    return workspace[before]
+
+
+def _fuse_text_key(how: str, name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        workspace = _workspace(spark, sf_dir, "orders", "customer")
+        cents = F.when(F.col("c_custkey") % 5 == 0, F.lit(".50")).otherwise(F.lit(".00"))
+        text = F.concat(F.col("c_custkey").cast("string"), cents).alias("custkey")
+        workspace.add("customers", workspace["customer"].select(text, "c_name"))
+        workspace.add(
+            "orders", workspace["orders"].select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+        )
+        return _fuse(
+            workspace, "orders", "customers", fuse_by="column", fuse_on="custkey", fuse_how=how
+        )
+
+    run.__name__ = name
+    key = "coalesce(CAST(o.custkey AS VARCHAR), c.custkey)" if how == "outer" else "o.custkey"
+    query(f"""
+        SELECT {key} AS custkey, o_orderkey, c_name
+        FROM (SELECT o_custkey AS custkey, o_orderkey FROM orders) o
+        {"FULL OUTER" if how == "outer" else "INNER"} JOIN (
+            SELECT c_custkey || CASE WHEN c_custkey % 5 = 0 THEN '.50' ELSE '.00' END AS custkey,
+                   c_custkey, c_name FROM customer) c
+        ON o.custkey = c.c_custkey AND c.c_custkey % 5 <> 0
+    """)(run)
+
+
+_fuse_text_key("inner", "fuse_text_key")
+_fuse_text_key("outer", "fuse_text_key_outer")
+
+
+@query("""
+    WITH d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(12, 2)) + CASE
+                      WHEN l_linenumber = 1 THEN 0.70 ELSE 0.00 END AS k FROM lineitem),
+         w AS (SELECT p_partkey AS k, p_brand FROM part WHERE p_partkey <= 60),
+         t AS (SELECT s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.7' ELSE '' END AS k, s_name
+               FROM supplier WHERE s_suppkey <= 60)
+    SELECT coalesce(CAST(w.k AS VARCHAR), CAST(d.k AS VARCHAR), t.k) AS k, p_brand, l_orderkey,
+           l_linenumber, s_name
+    FROM w FULL OUTER JOIN d ON w.k = d.k
+    FULL OUTER JOIN t ON TRY_CAST(t.k AS DECIMAL(12, 2)) = coalesce(d.k, w.k)
+""")
+def fuse_decimal_key(spark, sf_dir):
+    """Whole numbers, decimals and text, the whole numbers first: 5 is 5.00 but not 5.70."""
+    workspace = _workspace(spark, sf_dir, "lineitem", "part", "supplier")
+    quantity = F.col("l_quantity").cast("decimal(12,2)")
+    more = F.when(F.col("l_linenumber") == 1, F.lit("0.70")).otherwise("0.00").cast("decimal(3,2)")
+    workspace.add("d", workspace["lineitem"].select(
+        (quantity + more).cast("decimal(12,2)").alias("k"), "l_orderkey", "l_linenumber"
+    ))
+    workspace.add("w", workspace["part"].where("p_partkey <= 60").select(
+        F.col("p_partkey").alias("k"), "p_brand"
+    ))
+    text = F.col("s_suppkey").cast("string")
+    workspace.add("t", workspace["supplier"].where("s_suppkey <= 60").select(
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(text, F.lit(".7"))).otherwise(text).alias("k"),
+        "s_name",
+    ))
+    return _fuse(workspace, "w", "d", "t", fuse_by="column", fuse_on="k", fuse_how="outer")
+
+
 # -- inspection -----------------------------------------------------------------------------
 
 
@@ -911,12 +1016,16 @@ def display_nested(spark, sf_dir):
 
 
 def _described(statistic: str, aggregate: str) -> str:
-    of_text = f"CAST({aggregate}(c_name) AS VARCHAR)"
+    def number(column: str) -> str:
+        return f"round(CAST({aggregate}({column}) AS DOUBLE), 4) AS {column}"
+
+    def text(column: str) -> str:
+        known = aggregate in ("count", "min", "max")
+        return f"CAST({aggregate}({column}) AS VARCHAR) AS {column}" if known else f"NULL AS {column}"
+
+    columns = [number("c_custkey"), text("c_name"), number("c_nationkey"), number("c_acctbal")]
     return f"""
-        SELECT '{statistic}' AS summary,
-               round(CAST({aggregate}(c_custkey) AS DOUBLE), 4) AS c_custkey,
-               round(CAST({aggregate}(c_acctbal) AS DOUBLE), 4) AS c_acctbal,
-               {of_text if aggregate in ("count", "min", "max") else "NULL"} AS c_name
+        SELECT '{statistic}' AS summary, {", ".join(columns)}, {text("c_mktsegment")}
         FROM customer
     """
 
@@ -928,12 +1037,9 @@ _STATISTICS = {
 
 @query(" UNION ALL ".join(_described(*statistic) for statistic in _STATISTICS.items()))
 def describe_columns(spark, sf_dir):
-    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name")
-    return describe(df).select(
-        "summary",
-        F.round(F.col("c_custkey").cast("double"), 4).alias("c_custkey"),
-        F.round(F.col("c_acctbal").cast("double"), 4).alias("c_acctbal"),
-        "c_name",
+    numbers = ("c_custkey", "c_nationkey", "c_acctbal")
+    return describe(_table(spark, sf_dir, "customer")).withColumns(
+        {name: F.round(F.col(name).cast("double"), 4) for name in numbers}
     )
 
 
@@ -941,21 +1047,42 @@ def describe_columns(spark, sf_dir):
 
 
 @query("""
-    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
-           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+           o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
     FROM orders
 """)
 def csv_round_trip(spark, sf_dir):
-    df = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    df = _table(spark, sf_dir, "orders")
     path = write_files(df, new_folder(spark, "csv") + "/orders.csv", "csv")
     return read_file(spark, FileSpec(path))
 
 
+_DOCUMENTS_AS_TEXT = """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source,
+           CAST(n_chars AS VARCHAR) AS n_chars
+    FROM documents
+"""
+
+
+@query(_DOCUMENTS_AS_TEXT)
+def csv_free_text(spark, sf_dir):
+    """Texts with line breaks, quotes and backslashes, written and read as CSV."""
+    workspace = _workspace(spark, sf_dir, "documents")
+    target = {"type": "download", "datasets": ["documents"], "conversions": {"documents": "csv"}}
+    place = RunPlace(new_folder(spark, "csv"), new_folder(spark, "streams"))
+    exported = export(workspace, target, place)
+    return read_file(spark, FileSpec(exported.paths["documents"]))
+
+
 @query("""
-    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
+           CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
+           c_mktsegment
+    FROM customer
 """)
 def txt_round_trip(spark, sf_dir):
-    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    df = _table(spark, sf_dir, "customer")
     path = new_folder(spark, "txt") + "/Customer List.txt"
     df.write.option("header", True).option("sep", "\t").csv(path)
     workspace = Workspace(spark)
@@ -998,12 +1125,19 @@ def target_two_formats(spark, sf_dir):
     return _fuse(written, "supplier", "customer", fuse_by="row")
 
 
-@query("SELECT event_id, event_type, value FROM events")
+@query("""
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, user_id, event_type, value, props
+    FROM events
+""")
 def json_files(spark, sf_dir):
-    df = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    seconds = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    df = _table(spark, sf_dir, "events").withColumn("ts", seconds)
     path = new_folder(spark, "json") + "/events.json"
     df.write.json(path)
-    sample = '{"event_id": 1, "event_type": "view", "value": 1.5}'
+    sample = (
+        '{"event_id": 1, "ts": "2024-01-01T00:00:00", "user_id": 1, "event_type": "view",'
+        ' "value": 1.5, "props": "{}"}'
+    )
     return read_file(spark, FileSpec(path, schema_skeleton=sample))
 
 
@@ -1069,12 +1203,19 @@ def _streaming(spark: SparkSession, sf_dir: str) -> Workspace:
     return workspace
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events")
+@query("""
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, user_id, event_type, value, props
+    FROM events
+""")
 def stream_json_decode(spark, sf_dir):
     workspace = _streaming(spark, sf_dir)
-    document = F.struct("event_id", "user_id", "event_type", "value")
+    seconds = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts")
+    document = F.struct("event_id", seconds, "user_id", "event_type", "value", "props")
     payload = workspace["events"].select(F.to_json(document).cast("binary").alias("value"))
-    sample = '{"event_id": 1, "user_id": 1, "event_type": "view", "value": 1.5}'
+    sample = (
+        '{"event_id": 1, "ts": "2024-01-01T00:00:00", "user_id": 1, "event_type": "view",'
+        ' "value": 1.5, "props": "{}"}'
+    )
     workspace.add("decoded", decode_json(payload, sample))
     return _drained(workspace, "decoded")
 
@@ -1200,6 +1341,14 @@ def stream_csv(spark, sf_dir):
     return _drained(workspace, "events", "csv")
 
 
+@query(_DOCUMENTS_AS_TEXT)
+def stream_csv_free_text(spark, sf_dir):
+    source = _event_stream(sf_dir, path=f"{sf_dir}/documents.parquet*", dataframe_name="documents")
+    workspace = Workspace(spark)
+    import_sources(workspace, {"Stream": source})
+    return _drained(workspace, "documents", "csv")
+
+
 def _stream_layers(sf_dir: str, kind: str) -> list[dict]:
     rule = [_filter("event_type", "==", kind), _drop("column", "ts", "props", "user_id")]
     target = {

@@ -63,12 +63,14 @@ def _export_one(
     if target["type"] == "download":
         file_format = (target.get("conversions") or {}).get(dataset)
         path = output_path(target.get("path", place.output_dir), dataset, str(file_format))
+        text = target.get("csv_text", "escaped")
         if df.isStreaming:
             _refuse_foreign_output(df.sparkSession, path, place.checkpoint(dataset))
-            writer = start_file_stream(df, path, str(file_format))
+            writer = start_file_stream(df, path, str(file_format), text)
             exported.queries.append(_start(writer, dataset, target, place))
         else:
-            write_files(df, path, str(file_format), target.get("mode", "errorifexists"))
+            mode = target.get("mode", "errorifexists")
+            write_files(df, path, str(file_format), mode, text)
         exported.paths[dataset] = path
     elif target["type"] == "console":
         if df.isStreaming:

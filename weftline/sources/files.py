@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import codecs
 import posixpath
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.errors import SourceError
+from weftline.functions.columns import quoted
+from weftline.functions.escapes import unescape, unescape_name
+from weftline.sinks.files import CSV_OPTIONS, is_escaped
 from weftline.sources.decode import decode_json
 from weftline.workspace import dataset_name
 
@@ -60,9 +64,18 @@ def read_file(spark: SparkSession, spec: FileSpec) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, spec: FileSpec, sep: str) -> DataFrame:
-    """Header gives the names; every column is text until a rule casts it."""
+    """Header gives the names; every column is text until a rule casts it.
+
+    A folder that our CSV target marked as escaped gives back the text as it was.
+    """
     sep = codecs.decode(sep, "unicode_escape")
-    return spark.read.options(header=True, sep=sep, **spec.options).csv(spec.path)
+    if not is_escaped(spark, spec.path):
+        return spark.read.options(header=True, sep=sep, **spec.options).csv(spec.path)
+    options = CSV_OPTIONS | {"sep": sep} | spec.options
+    lines = spark.read.options(**options).csv(spec.path)
+    return lines.select(
+        *(unescape(F.col(quoted(c))).alias(unescape_name(c)) for c in lines.columns)
+    )
 
 
 def discover(
@@ -80,8 +93,8 @@ def discover(
         .select(F.col("path"))
     )
     specs = [FileSpec(path) for path in sorted(row.path for row in listing.collect())]
-    names = [spec.dataset for spec in specs]
-    repeated = sorted({name for name in names if names.count(name) > 1})
+    counts = Counter(spec.dataset for spec in specs)
+    repeated = sorted(name for name, n in counts.items() if n > 1)
     if repeated:
         raise SourceError(f"{directory}: several files would import as {repeated}")
     return specs

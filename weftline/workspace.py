@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,8 @@ class Workspace:
         self.base: dict[str, DataFrame] = {}
         self.current: dict[str, DataFrame] = {}
         self.paths: dict[str, str] = {}
+        #: What fusions know of the frequent keys of the datasets they made.
+        self.lineages: dict[str, tuple[DataFrame, Any]] = {}
         self._cached: list[DataFrame] = []
 
     def add(
@@ -61,6 +64,11 @@ class Workspace:
         self[name]
         return self.update(name, self.base[name])
 
+    def lineage(self, name: str) -> Any | None:
+        """As a fusion left it; None once a rule has rewritten the dataset."""
+        df, known = self.lineages.get(name, (None, None))
+        return known if df is not None and df is self.current.get(name) else None
+
     def release(self) -> None:
         """Drop whatever ``add(cache=True)`` cached."""
         while self._cached:
