@@ -4,14 +4,18 @@ Mean and standard deviation are scalar subqueries: nothing runs until the filled
 does, and Spark merges the subqueries of neighbouring fills into one aggregate over one scan.
 
 The median is exact. A quantile sketch would send one summary per input task to a single
-reducer, so its cost grows with the number of tasks; instead, the column is counted into
-ordered bins, the bin that holds the middle rank is opened again, and so on. Every step
-shuffles pre-aggregated bin counts only, and the number of bins has a fixed limit.
+reducer, so its cost grows with the number of tasks; instead, each column is counted into
+ordered bins, the bin that holds the middle rank is opened again, and so on. Every pass serves all
+columns that are asked for, shuffles pre-aggregated bin counts only, and has at most
+``LINEAR_BINS`` bins (in the first pass about 270,000) for each of them, whatever the type.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -23,8 +27,8 @@ from weftline.functions.columns import column, type_of
 # 64 bins per power of two bound the first histogram to about 270,000 bins for any doubles.
 BINS_PER_OCTAVE = 64
 LINEAR_BINS = 65_536
-# With this few rows left, counting each distinct value is cheaper than another histogram.
-DIRECT_ROWS = 100_000
+# With this few rows left, counting each distinct value takes one pass and no more bins.
+DIRECT_ROWS = LINEAR_BINS
 _LOWEST_EXPONENT = 1_080
 
 
@@ -50,29 +54,128 @@ def standard_deviation(df: DataFrame, name: str) -> Column:
 
 def median(df: DataFrame, name: str) -> Column:
     """The lower median, found by a few jobs that each return one row."""
-    value, dtype = numeric_view(df, name)
-    rows = df.select(value.alias("v")).where("v IS NOT NULL")
-    found = _bin_with_rank(rows.groupBy(_ordered_bin(F.col("v")).alias("bin")), None)
-    if found is None:
-        return F.lit(None).cast(dtype)
-    while not _single(found):
-        inside = rows.where(F.col("v").between(_lit(found.lo, dtype), _lit(found.hi, dtype)))
-        low, high = float(found.lo), float(found.hi)
-        if found.n <= DIRECT_ROWS or low == high:
-            step = F.col("v")
-        else:
-            offset = (F.col("v").cast("double") - F.lit(low)) / F.lit(high - low)
-            step = F.floor(offset * LINEAR_BINS)
-        found = _bin_with_rank(inside.groupBy(step.alias("bin")), found.rank)
-    return _lit(found.lo, dtype)
-
-
-def _lit(value, dtype: T.DataType) -> Column:
-    return F.lit(value).cast(dtype)
-
-
-def _single(found: Row) -> bool:
-    return found.lo == found.hi or (isinstance(found.lo, float) and math.isnan(found.lo))
+    return medians(df, [name])[name]
+
+
+@dataclass
+class _Search:
+    """One column's search: values of the bin that holds the wanted rank, and the rank inside it."""
+
+    value: Column
+    dtype: T.DataType
+    lo: Any = None
+    hi: Any = None
+    n: int | None = None
+    rank: int | None = None
+    #: The last pass did not narrow the bin: its values are too close to be told apart by bins.
+    stuck: bool = False
+
+    def narrow(self, lo: Any, hi: Any, n: int, rank: int) -> None:
+        self.stuck = (lo, hi, n) == (self.lo, self.hi, self.n)
+        self.lo, self.hi, self.n, self.rank = lo, hi, n, rank
+
+    @property
+    def done(self) -> bool:
+        if self.n is None:
+            return False
+        same = self.lo == self.hi or (isinstance(self.lo, float) and math.isnan(self.lo))
+        return self.n == 0 or same
+
+    def literal(self, value: Any) -> Column:
+        return F.lit(value).cast(self.dtype)
+
+    def inside(self) -> Column:
+        """Whether a row can hold the wanted value."""
+        if self.n is None:
+            return self.value.isNotNull()
+        return self.value.between(self.literal(self.lo), self.literal(self.hi))
+
+    def bin(self) -> Column:
+        if self.n is None:
+            return _ordered_bin(self.value)
+        value, low, span = self.value, self.literal(self.lo), self.hi - self.lo
+        if is_integral(self.dtype):  # the difference of two longs need not fit a long
+            value, low = value.cast("decimal(20,0)"), low.cast("decimal(20,0)")
+        share = (value - low).cast("double") / F.lit(float(span))
+        return F.floor(share * LINEAR_BINS).cast("int")
+
+    @property
+    def few(self) -> bool:
+        return self.stuck or (self.n is not None and self.n <= DIRECT_ROWS)
+
+
+def medians(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """The lower medians of several columns: passes over the rows are shared by all of them."""
+    searches = {name: _Search(*numeric_view(df, name)) for name in names}
+    while left := {name: s for name, s in searches.items() if not s.done}:
+        for found in _open_bins(df, list(left.values())):
+            lo, hi = found[f"lo{found.c}"], found[f"hi{found.c}"]
+            list(left.values())[found.c].narrow(lo, hi, found.n, found.rank)
+        for search in left.values():
+            if search.n is None:  # the column holds no value
+                search.n = 0
+    return {name: s.literal(s.lo) for name, s in searches.items()}
+
+
+def _open_bins(df: DataFrame, searches: list[_Search]) -> list[Row]:
+    """One pass: per search the bin with the wanted rank (in the first pass the middle one).
+
+    Rows are laid out once per column, as (column, bin) with the value under the column's own name;
+    few rows are binned by their values.
+    """
+    rows = df.select(
+        *(s.inside().alias(f"in{c}") for c, s in enumerate(searches)),
+        *(s.value.alias(f"v{c}") for c, s in enumerate(searches)),
+        *(s.bin().alias(f"b{c}") for c, s in enumerate(searches) if not s.few),
+    )
+    columns = range(len(searches))
+    rows = rows.where(reduce(Column.__or__, (F.col(f"in{c}") for c in columns)))
+    laid = F.array(
+        *(
+            F.when(
+                F.col(f"in{c}"),
+                F.struct(
+                    F.lit(c).alias("c"),
+                    (F.lit(0) if s.few else F.col(f"b{c}")).alias("bin"),
+                    *(
+                        (F.col(f"v{c}") if own == c and s.few else F.lit(None).cast(o.dtype)).alias(
+                            f"at{own}"
+                        )
+                        for own, o in enumerate(searches)
+                    ),
+                    *(
+                        (F.col(f"v{c}") if own == c else F.lit(None).cast(o.dtype)).alias(f"v{own}")
+                        for own, o in enumerate(searches)
+                    ),
+                ),
+            )
+            for c, s in enumerate(searches)
+        )
+    )
+    laid = F.filter(laid, lambda x: x.isNotNull())
+    order = ["bin", *(f"at{c}" for c, s in enumerate(searches) if s.few)]
+    bins = (
+        rows.select(F.inline(laid))
+        .groupBy("c", *order)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *(F.min(f"v{c}").alias(f"lo{c}") for c in columns),
+            *(F.max(f"v{c}").alias(f"hi{c}") for c in columns),
+        )
+    )
+    # The windows run over bins, not rows; the bins are few by construction.
+    whole = Window.partitionBy("c")
+    target = F.ceil(F.sum("n").over(whole) / 2)
+    for c, s in enumerate(searches):
+        if s.rank is not None:
+            target = F.when(F.col("c") == c, F.lit(s.rank)).otherwise(target)
+    return (
+        bins.withColumn("target", target.cast("long"))
+        .withColumn("upto", F.sum("n").over(whole.orderBy(*order)))
+        .where((F.col("upto") >= F.col("target")) & (F.col("upto") - F.col("n") < F.col("target")))
+        .withColumn("rank", F.col("target") - F.col("upto") + F.col("n"))
+        .collect()
+    )
 
 
 def _ordered_bin(v: Column) -> Column:
@@ -90,23 +193,3 @@ def _ordered_bin(v: Column) -> Column:
         .otherwise(-depth)
         .cast("int")
     )
-
-
-def _bin_with_rank(grouped, rank: int | None) -> Row | None:
-    """The bin holding the given rank (the middle one by default), and the rank inside it."""
-    bins = grouped.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
-    # Both windows run over bins, not rows; the bins are few by construction.
-    target = F.ceil(F.sum("n").over(Window.partitionBy()) / 2) if rank is None else F.lit(rank)
-    return (
-        bins.select(
-            "bin", "n", "lo", "hi",
-            target.alias("target"),
-            F.sum("n").over(Window.orderBy("bin")).alias("upto"),
-        )
-        .where("upto >= target")
-        .orderBy("bin")
-        .select("n", "lo", "hi", (F.col("target") - F.col("upto") + F.col("n")).alias("rank"))
-        .first()
-    )

@@ -8,7 +8,7 @@ exception is the median, which needs a few one-row jobs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -36,6 +36,8 @@ from weftline.workspace import Workspace
 class RuleContext:
     workspace: Workspace | None
     dataset: str
+    #: Medians that were found together, by the position of the process and for the next ones.
+    medians: dict[str, Column] = field(default_factory=dict)
 
 
 Args = dict[str, Any]
@@ -154,8 +156,11 @@ def _fill_nulls(df: DataFrame, args: Args, context: RuleContext) -> DataFrame:
         (condition,) = _need(args, "fill_condition")
         if condition not in _STATISTICS:
             raise SpecError(f"fill_condition {condition!r} needs a data_reference")
-        measured = _statistics_input(df, args, context)
-        replacement = _STATISTICS[condition](measured, name).try_cast(dtype)
+        if condition == "median" and name in context.medians:
+            replacement = context.medians.pop(name).try_cast(dtype)
+        else:
+            measured = _statistics_input(df, args, context)
+            replacement = _STATISTICS[condition](measured, name).try_cast(dtype)
     if is_fractional(dtype):
         col = F.when(~F.isnan(col), col)
     return df.withColumn(name, F.coalesce(col, replacement))
@@ -224,6 +229,33 @@ OPERATIONS: dict[str, Operator] = {
 }
 
 
+def _shared_medians(df: DataFrame, processes: list[dict], context: RuleContext) -> dict:
+    """Medians of the null fills at the head of ``processes``, found in the same passes.
+
+    Filling one column leaves the others as they are, so the medians of different columns can be
+    found before any of them is filled. Less than two medians are left to the fill itself.
+    """
+    names: list[str] = []
+    filled, source = set(), None
+    for process in processes:
+        args = process.get("data_map") or {}
+        if process.get("operation") != "Fill" or args.get("fill_by") != "null values":
+            break
+        name = find_name(df, str(args.get("column_name")))
+        if name is None or name in filled:
+            break
+        filled.add(name)
+        if args.get("data_reference") is None and args.get("fill_condition") == "median":
+            if names and args.get("stats_from") != source:
+                break
+            names.append(name)
+            source = args.get("stats_from")
+    if len(names) < 2:
+        return {}
+    measured = _statistics_input(df, {"stats_from": source}, context)
+    return statistics.medians(measured, names)
+
+
 def apply_processes(
     df: DataFrame,
     processes: list[dict],
@@ -240,6 +272,8 @@ def apply_processes(
             args = process.get("data_map")
             if not args:
                 raise SpecError("empty data_map")
+            if not context.medians:
+                context.medians.update(_shared_medians(df, processes[index:], context))
             df = OPERATIONS[operation](df, args, context)
         except Exception as error:
             raise RuleError(dataset, index, str(operation), error) from error

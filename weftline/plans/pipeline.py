@@ -62,6 +62,30 @@ def _has_streams(result: PipelineResult, target: dict) -> bool:
     return any(d in known and known[d].isStreaming for d in target.get("datasets") or [])
 
 
+def _demand(layers: list[dict], source: int) -> dict[str, list[dict]]:
+    """Per dataset the processes of the Processor layers that directly follow a Source layer.
+
+    Datasets that a later layer resets, or whose statistics another dataset uses, are left out: their
+    other columns are used as well.
+    """
+    found: dict[str, list[dict]] = {}
+    whole = set()
+    for layer in layers[source + 1 :]:
+        if layer["layer_type"] != "Processor":
+            continue
+        for dataset, processes in layer["layer_selection"].items():
+            if layer.get("reset"):
+                whole.add(dataset)
+            for process in processes:
+                whole.add((process.get("data_map") or {}).get("stats_from"))
+    for layer in layers[source + 1 :]:
+        if layer["layer_type"] != "Processor":
+            break
+        for dataset, processes in layer["layer_selection"].items():
+            found.setdefault(dataset, []).extend(processes)
+    return {dataset: processes for dataset, processes in found.items() if dataset not in whole}
+
+
 def run_pipeline(
     spark: SparkSession,
     layers: list[dict],
@@ -90,7 +114,8 @@ def run_pipeline(
         kind, spec = layer["layer_type"], layer["layer_selection"]
         try:
             if kind == "Source":
-                detail = f"imported {import_sources(result.workspace, spec)}"
+                names = import_sources(result.workspace, spec, demand=_demand(layers, index))
+                detail = f"imported {names}"
             elif kind == "Processor":
                 apply_rule(result.workspace, spec, reset=bool(layer.get("reset")))
                 detail = f"rewrote {list(spec)}"

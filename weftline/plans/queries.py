@@ -411,6 +411,24 @@ def fill_null_two_columns(spark, sf_dir):
     ).withColumn("value", F.round("value", 4))
 
 
+@query(f"""
+    WITH given AS ({_EVENTS_WITH_NULLS})
+    SELECT event_id, event_type,
+           coalesce(value, (SELECT quantile_disc(value, 0.5) FROM given)) AS value,
+           coalesce(user_id, (SELECT quantile_disc(user_id, 0.5) FROM given)) AS user_id
+    FROM given
+""")
+def fill_null_two_medians(spark, sf_dir):
+    """Both medians come from the same passes."""
+    return apply_processes(
+        _events_with_nulls(spark, sf_dir),
+        [
+            _fill_nulls("value", fill_condition="median"),
+            _fill_nulls("user_id", fill_condition="median"),
+        ],
+    )
+
+
 # -- nested data ----------------------------------------------------------------------------
 
 
@@ -443,8 +461,8 @@ _MEASURES_SAMPLE = (
 )
 
 
-def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items read back from JSON text, with an array of structs inside."""
+def _measures(spark: SparkSession, sf_dir: str, processes: list[dict]) -> DataFrame:
+    """Line items read back from JSON text, with an array of structs inside, and rewritten."""
     measures = F.array(
         *(
             F.struct(F.lit(name).alias("name"), F.struct(F.col(c).alias("amount")).alias("detail"))
@@ -466,8 +484,9 @@ def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dataframe_name": "measures",
         "snapshot": True,
     }
-    import_sources(workspace, {"Stream": snapshot})
-    return workspace["measures"].withColumn("line", F.col("line").cast("int"))
+    processes = [_cast("line", "int"), *processes]
+    import_sources(workspace, {"Stream": snapshot}, demand={"measures": processes})
+    return apply_processes(workspace["measures"], processes)
 
 
 @query("""
@@ -477,15 +496,13 @@ def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem
 """)
 def decode_explode_flatten(spark, sf_dir):
-    return apply_processes(
-        _measures(spark, sf_dir),
-        [
-            _explode("measures", "measure"),
-            _flatten("measure.name", "name"),
-            _flatten("measure.detail.amount", "amount"),
-            _drop("column", "measures", "measure"),
-        ],
-    )
+    processes = [
+        _explode("measures", "measure"),
+        _flatten("measure.name", "name"),
+        _flatten("measure.detail.amount", "amount"),
+        _drop("column", "measures", "measure"),
+    ]
+    return _measures(spark, sf_dir, processes)
 
 
 @query("""
@@ -493,14 +510,12 @@ def decode_explode_flatten(spark, sf_dir):
     FROM lineitem
 """)
 def flatten_through_array(spark, sf_dir):
-    return apply_processes(
-        _measures(spark, sf_dir),
-        [
-            _flatten("measures.name", "names"),
-            _explode("names", "name"),
-            _drop("column", "measures", "names"),
-        ],
-    )
+    processes = [
+        _flatten("measures.name", "names"),
+        _explode("names", "name"),
+        _drop("column", "measures", "names"),
+    ]
+    return _measures(spark, sf_dir, processes)
 
 
 # -- rules ----------------------------------------------------------------------------------

@@ -45,7 +45,10 @@ class FileSpec:
         return self.format or suffix
 
 
-def read_file(spark: SparkSession, spec: FileSpec) -> DataFrame:
+def read_file(
+    spark: SparkSession, spec: FileSpec, rules: list[dict] | None = None
+) -> DataFrame:
+    """``rules`` are the processes that will be applied next, if they are known (``decode_json``)."""
     kind = spec.file_format
     if kind == "csv":
         return _delimited(spark, spec, spec.sep or ",")
@@ -56,7 +59,7 @@ def read_file(spark: SparkSession, spec: FileSpec) -> DataFrame:
     if kind == "json":
         if spec.schema_skeleton:
             lines = spark.read.options(**spec.options).text(spec.path)
-            return decode_json(lines, spec.schema_skeleton)
+            return decode_json(lines, spec.schema_skeleton, rules=rules)
         return spark.read.options(**spec.options).json(spec.path)
     if kind == "parquet":
         return spark.read.options(**spec.options).parquet(spec.path)

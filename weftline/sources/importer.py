@@ -15,15 +15,25 @@ from weftline.workspace import Workspace
 _PARTS = {"Link", "Files", "Directory", "Stream"}
 
 
-def import_sources(workspace: Workspace, spec: dict, cache: bool = False) -> list[str]:
-    """Names of the imported datasets. ``cache`` suits interactive work on small inputs."""
+def import_sources(
+    workspace: Workspace,
+    spec: dict,
+    cache: bool = False,
+    demand: dict[str, list[dict]] | None = None,
+) -> list[str]:
+    """Names of the imported datasets. ``cache`` suits interactive work on small inputs.
+
+    ``demand`` has, per dataset, the processes that will be applied before anything else uses it:
+    JSON is then parsed for the fields that are used.
+    """
+    demand = demand or {}
     unknown = set(spec) - _PARTS
     if unknown:
         raise SpecError(f"unknown source part(s) {sorted(unknown)}, expected {sorted(_PARTS)}")
     files = _file_specs(workspace, spec)
-    names = [_import_file(workspace, file, cache) for file in files]
+    names = [_import_file(workspace, file, cache, demand) for file in files]
     for stream in _streams(spec):
-        names.append(_import_stream(workspace, stream))
+        names.append(_import_stream(workspace, stream, demand))
     if not names:
         raise SourceError("the source spec names nothing to import")
     return names
@@ -48,9 +58,11 @@ def _streams(spec: dict) -> list[dict]:
     return [streams] if isinstance(streams, dict) else list(streams)
 
 
-def _import_file(workspace: Workspace, file: FileSpec, cache: bool) -> str:
+def _import_file(
+    workspace: Workspace, file: FileSpec, cache: bool, demand: dict[str, list[dict]]
+) -> str:
     try:
-        df = read_file(workspace.spark, file)
+        df = read_file(workspace.spark, file, demand.get(file.dataset))
     except WeftlineError:
         raise
     except Exception as error:
@@ -59,12 +71,12 @@ def _import_file(workspace: Workspace, file: FileSpec, cache: bool) -> str:
     return file.dataset
 
 
-def _import_stream(workspace: Workspace, stream: dict) -> str:
+def _import_stream(workspace: Workspace, stream: dict, demand: dict[str, list[dict]]) -> str:
     name = stream.get("dataframe_name")
     if not name:
         raise SpecError("a stream source needs a dataframe_name")
     try:
-        df = read_stream(workspace.spark, stream)
+        df = read_stream(workspace.spark, stream, demand.get(name))
     except WeftlineError:
         raise
     except Exception as error:

@@ -38,11 +38,15 @@ def read_transport(spark: SparkSession, spec: dict) -> DataFrame:
     raise SourceError(f"unknown stream_from {origin!r}, expected 'kafka' or 'files'")
 
 
-def read_stream(spark: SparkSession, spec: dict) -> DataFrame:
+def read_stream(
+    spark: SparkSession, spec: dict, rules: list[dict] | None = None
+) -> DataFrame:
+    """``rules`` are the processes that will be applied next, if they are known (``decode_json``)."""
     df = read_transport(spark, spec)
-    if spec.get("schema_skeleton"):
-        df = decode_json(df, spec["schema_skeleton"])
     watermark = spec.get("watermark")
+    if spec.get("schema_skeleton"):
+        # the event time must be parsed, whatever the rules use
+        df = decode_json(df, spec["schema_skeleton"], rules=None if watermark else rules)
     if watermark and df.isStreaming:
         df = df.withWatermark(watermark["column"], watermark["delay"])
     return df
