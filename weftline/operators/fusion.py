@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from weftline.functions.casting import INTEGRAL_RANGE, is_fractional, is_integra
 from weftline.functions.columns import find_name, quoted, same_name
 from weftline.operators import skew
 from weftline.operators.lineage import Lineage, joined
-from weftline.streaming.legality import check_join, check_union
+from weftline.streaming.legality import check_join, check_join_within, check_union
 from weftline.workspace import Workspace
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
@@ -44,6 +45,7 @@ def run_step(workspace: Workspace, step: dict) -> str:
             step.get("fuse_how"),
             step.get("skew", "salt"),
             int(step.get("hot_rows", skew.HOT_ROWS)),
+            step.get("event_time"),
         )
         workspace.add(name, fused)
         workspace.lineages[name] = (fused, lineage)
@@ -59,13 +61,15 @@ def fuse_columns(
     how: str | None = None,
     skew_mode: str = "salt",
     hot_rows: int = skew.HOT_ROWS,
+    event_time: dict | None = None,
 ) -> DataFrame:
     """Left fold of joins on shared columns: keys first, then left and right columns.
 
     ``skew_mode`` is ``salt`` (spread hot keys of joins that Spark will not broadcast), ``always``
-    (of all joins) or ``adaptive`` (leave them to adaptive execution).
+    (of all joins) or ``adaptive`` (leave them to adaptive execution). ``event_time`` bounds a join of
+    two datasets to rows that lie close in time (``_join_within``).
     """
-    return _fuse_columns(workspace, datasets, on, how, skew_mode, hot_rows)[0]
+    return _fuse_columns(workspace, datasets, on, how, skew_mode, hot_rows, event_time)[0]
 
 
 def _fuse_columns(
@@ -75,6 +79,7 @@ def _fuse_columns(
     how: str | None,
     skew_mode: str,
     hot_rows: int,
+    event_time: dict | None = None,
 ) -> tuple[DataFrame, Lineage]:
     how = how or "inner"
     keys = [on] if isinstance(on, str) else list(on or [])
@@ -86,6 +91,9 @@ def _fuse_columns(
         raise FusionError(f"unknown skew {skew_mode!r}, expected one of {SKEW_MODES}")
 
     given = [_with_keys(workspace[name], keys, name) for name in datasets]
+    if event_time is not None:
+        fused = _join_within(given, datasets, keys, how, event_time)
+        return fused, Lineage({})
     inputs, mixed = _with_typed_keys(given, keys)
     lineages = [
         _lineage(workspace, name, df, keys, mixed) for name, df in zip(datasets, inputs)
@@ -113,6 +121,55 @@ def _fuse_columns(
     return fused, lineage.without([*mixed, *(_GIVEN + key for key in mixed)])
 
 
+_DURATION = re.compile(r"[0-9]+ (second|minute|hour|day)s?")
+
+
+def _join_within(
+    inputs: list[DataFrame], datasets: list[str], keys: list[str], how: str, event_time: dict
+) -> DataFrame:
+    """Join two datasets by keys where the times of both rows differ by ``within`` at most.
+
+    ``event_time`` is ``{"left": column, "right": column, "within": "30 minutes"}``. The same on
+    batches and on streams. On streams both times need a watermark: a row is forgotten once no row
+    of the other side can still match it, so state is bounded by the watermark's delay and
+    ``within``. Rows that come later than the watermark allows are dropped, and a kept row without a
+    match is given out when the watermark has passed its time by ``within``.
+    """
+    if len(inputs) != 2:
+        raise FusionError(f"event_time joins two datasets, got {datasets}")
+    within = event_time.get("within")
+    if not isinstance(within, str) or not _DURATION.fullmatch(within):
+        raise SpecError(f"within is a duration such as '30 minutes', not {within!r}")
+    left, right = inputs
+    times = []
+    for side, df, dataset in (("left", left, datasets[0]), ("right", right, datasets[1])):
+        time = find_name(df, str(event_time.get(side)))
+        if time is None:
+            raise FusionError(f"dataset {dataset!r} has no column {event_time.get(side)!r}")
+        times.append(time)
+    check_join_within(left, right, *times, how)
+    right, renamed = _without_clashes(left, right, keys, datasets[1])
+    time = renamed.get(times[1], times[1])
+    own = [f"__right_{i}" for i in range(len(keys))]
+    right = right.withColumnsRenamed(dict(zip(keys, own)))
+    span = F.expr(f"INTERVAL '{within}'")
+    met = F.col(quoted(time)).between(
+        F.col(quoted(times[0])) - span, F.col(quoted(times[0])) + span
+    )
+    if times[0] == time:  # the times are the keys
+        raise FusionError("event_time names a key column")
+    for key, other in zip(keys, own):
+        met = met & (F.col(quoted(key)) == F.col(other))
+    fused = left.join(right, met, how)
+    taken = {"right": lambda k, o: F.col(o), "outer": lambda k, o: F.coalesce(quoted(k), o)}.get(
+        how, lambda k, o: F.col(quoted(k))
+    )
+    rest = [c for c in (*left.columns, *right.columns) if c not in (*keys, *own)]
+    return fused.select(
+        *(taken(key, other).alias(key) for key, other in zip(keys, own)), *map(quoted, rest)
+    )
+
+
 def _lineage(
     workspace: Workspace, name: str, df: DataFrame, keys: list[str], mixed: dict[str, bool]
 ) -> Lineage:

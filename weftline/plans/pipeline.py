@@ -18,6 +18,7 @@ from weftline.errors import PipelineError, SpecError
 from weftline.operators.fusion import run_fusion
 from weftline.operators.rules import apply_rule
 from weftline.plans.catalog import check_layers
+from weftline.plans.counts import Counter, LayerCount
 from weftline.scratch import new_folder, shared_root
 from weftline.sinks.export import RunPlace, export
 from weftline.sources.importer import import_sources
@@ -39,6 +40,13 @@ class PipelineResult:
     paths: dict[str, str] = field(default_factory=dict)
     queries: list[StreamingQuery] = field(default_factory=list)
     log: list[LayerLog] = field(default_factory=list)
+    counter: Counter | None = None
+
+    def counts(self) -> list[LayerCount]:
+        """Rows of every dataset after every layer that made or rewrote it (``count_rows``)."""
+        if self.counter is None:
+            raise SpecError("the pipeline was run without count_rows")
+        return self.counter.read(self.queries)
 
     def __getitem__(self, dataset: str) -> DataFrame:
         return self.workspace[dataset]
@@ -93,16 +101,20 @@ def run_pipeline(
     output_dir: str | None = None,
     checkpoint_root: str | None = None,
     on_layer: Callable[[LayerLog], None] | None = None,
+    count_rows: bool = False,
 ) -> PipelineResult:
     """Run resolved layers; ``on_layer`` hears of each as it finishes or fails.
 
     Streams continue where they stopped if ``name`` and ``checkpoint_root`` are the same. The
     checkpoint root defaults to the shared folder that ``spark.checkpoint.dir`` names. A run
-    without a name gets one of its own, so its streams start from the beginning.
+    without a name gets one of its own, so its streams start from the beginning. ``count_rows``
+    counts the rows of every layer in the same jobs; filters then stay above the counts.
     """
     check_layers(layers)
     name = name or f"unnamed-{uuid.uuid4().hex}"
     result = PipelineResult(name, Workspace(spark))
+    if count_rows:
+        result.counter = Counter(uuid.uuid4().hex)
     targets = 0
 
     def note(entry: LayerLog) -> None:
@@ -114,14 +126,16 @@ def run_pipeline(
         kind, spec = layer["layer_type"], layer["layer_selection"]
         try:
             if kind == "Source":
-                names = import_sources(result.workspace, spec, demand=_demand(layers, index))
-                detail = f"imported {names}"
+                made = import_sources(result.workspace, spec, demand=_demand(layers, index))
+                detail = f"imported {made}"
             elif kind == "Processor":
                 apply_rule(result.workspace, spec, reset=bool(layer.get("reset")))
-                detail = f"rewrote {list(spec)}"
+                made = list(spec)
+                detail = f"rewrote {made}"
             elif kind == "Fusion":
                 steps = [spec] if isinstance(spec, dict) else spec
-                detail = f"fused {run_fusion(result.workspace, steps)}"
+                made = run_fusion(result.workspace, steps)
+                detail = f"fused {made}"
             else:
                 place = RunPlace(
                     output_dir or new_folder(spark, "output"),
@@ -130,12 +144,17 @@ def run_pipeline(
                     layer.get("name", f"target_{targets}"),
                 )
                 targets += 1
+                made = []
                 if name.startswith("unnamed-") and output_dir and _has_streams(result, spec):
                     raise SpecError("a pipeline that streams into output_dir needs a name")
+                if result.counter:
+                    result.counter.ran += [result.workspace[d] for d in spec.get("datasets") or []]
                 exported = export(result.workspace, spec, place)
                 result.paths.update(exported.paths)
                 result.queries.extend(exported.queries)
                 detail = f"exported {spec['datasets']}"
+            if result.counter:
+                result.counter.mark(result.workspace, index, kind, made)
         except Exception as error:
             result.stop()
             percent = round(100 * index / len(layers))

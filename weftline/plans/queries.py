@@ -24,6 +24,7 @@ from weftline.sinks.jdbc import batch_writer
 from weftline.sources.decode import decode_json
 from weftline.sources.files import FileSpec, read_file
 from weftline.sources.importer import import_sources
+from weftline.streaming.registry import ActiveStreams
 from weftline.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1364,6 +1365,83 @@ def stream_csv_free_text(spark, sf_dir):
     return _drained(workspace, "documents", "csv")
 
 
+def _purchases_and_clicks(spark: SparkSession, sf_dir: str) -> Workspace:
+    """Two streams over all events, an hour of lateness allowed."""
+    workspace = Workspace(spark)
+    mark = {"column": "ts", "delay": "1 hour"}
+    for name in ("purchases", "clicks"):
+        stream = _event_stream(sf_dir, dataframe_name=name, watermark=mark)
+        import_sources(workspace, {"Stream": stream})
+    apply_rule(workspace, {
+        "purchases": [_filter("event_type", "==", "purchase"), _drop("column", "event_type", "props")],
+        "clicks": [
+            _filter("event_type", "==", "click"), _drop("column", "event_type", "props", "value"),
+            _rename("event_id", "click_id"), _rename("ts", "clicked"),
+        ],
+    })
+    return workspace
+
+
+def _within_half_an_hour(workspace: Workspace, how: str) -> DataFrame:
+    times = {"left": "ts", "right": "clicked", "within": "30 minutes"}
+    _fuse(
+        workspace, "purchases", "clicks",
+        fuse_by="column", fuse_on="user_id", fuse_how=how, event_time=times,
+    )
+    columns = ["user_id", "event_id", "value", "click_id"]
+    workspace.update("out", workspace["out"].select(*columns))
+    return _drained(workspace, "out")
+
+
+_PURCHASE_CLICKS = """
+    SELECT p.user_id, p.event_id, p.value, c.event_id AS click_id, p.ts
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    {join} JOIN (SELECT * FROM events WHERE event_type = 'click') c
+    ON p.user_id = c.user_id AND c.ts BETWEEN p.ts - INTERVAL 30 MINUTE AND p.ts + INTERVAL 30 MINUTE
+"""
+
+
+@query(f"SELECT user_id, event_id, value, click_id FROM ({_PURCHASE_CLICKS.format(join='INNER')})")
+def stream_stream_inner(spark, sf_dir):
+    return _within_half_an_hour(_purchases_and_clicks(spark, sf_dir), "inner")
+
+
+@query(f"""
+    WITH mark AS (
+      SELECT min(last) - INTERVAL 1 HOUR AS seen FROM (
+        SELECT max(ts) AS last FROM events WHERE event_type IN ('purchase', 'click')
+        GROUP BY event_type))
+    SELECT user_id, event_id, value, click_id FROM ({_PURCHASE_CLICKS.format(join='LEFT')}), mark
+    WHERE click_id IS NOT NULL OR ts + INTERVAL 30 MINUTE <= seen
+""")
+def stream_stream_left(spark, sf_dir):
+    """A purchase without a click is given out once no click can come any more, so those of the last
+    hour and a half are still open at the end of the table."""
+    return _within_half_an_hour(_purchases_and_clicks(spark, sf_dir), "left")
+
+
+@query("""
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS since, event_type,
+           count(*) AS n_events, round(sum(value), 4) AS total
+    FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR
+          <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+    GROUP BY date_trunc('hour', ts), event_type
+""")
+def stream_sql_windows(spark, sf_dir):
+    """SQL over the view of a stream: hours are given out once the watermark has passed them."""
+    workspace = Workspace(spark)
+    mark = {"column": "ts", "delay": "10 minutes"}
+    import_sources(workspace, {"Stream": _event_stream(sf_dir, watermark=mark)})
+    hours = run_sql(workspace, """
+        SELECT date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS since, event_type,
+               count(*) AS n_events, round(sum(value), 4) AS total
+        FROM view_events GROUP BY window(ts, '1 hour'), event_type
+    """)
+    workspace.add("hours", hours)
+    return _drained(workspace, "hours")
+
+
 def _stream_layers(sf_dir: str, kind: str) -> list[dict]:
     rule = [_filter("event_type", "==", kind), _drop("column", "ts", "props", "user_id")]
     target = {
@@ -1396,6 +1474,62 @@ def stream_restart(spark, sf_dir):
     return spark.read.schema(result["events"].schema).parquet(result.paths["events"])
 
 
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase'")
+def stream_stop_resume(spark, sf_dir):
+    """A registered stream is stopped half way through the table by the end of its application, and
+    resumed by the next one from what the registry and its checkpoint remember."""
+    places = {
+        "output_dir": new_folder(spark, "stream-out"),
+        "checkpoint_root": new_folder(spark, "stream-progress"),
+    }
+    inbox, registry = new_folder(spark, "stream-in"), new_folder(spark, "registry")
+    name = posixpath.basename(registry)
+    layers = _stream_layers(sf_dir, "purchase")
+    layers[0]["layer_selection"]["Stream"]["path"] = inbox
+    events = _table(spark, sf_dir, "events")
+    events.where("event_id % 2 = 0").write.parquet(inbox)
+    first = ActiveStreams(spark, registry)
+    result = first.start(name, layers, **places)
+    result.wait()
+    result.stop()
+    events.where("event_id % 2 = 1").write.mode("append").parquet(inbox)
+    second = ActiveStreams(spark, registry)
+    second.resume()
+    resumed = second.running[name]
+    resumed.wait()
+    second.stop(name)
+    return spark.read.schema(resumed["events"].schema).parquet(resumed.paths["events"])
+
+
+@query("""
+    WITH filtered AS (SELECT * FROM orders WHERE o_totalprice > 200000),
+         fused AS (SELECT o_custkey FROM filtered JOIN customer ON o_custkey = c_custkey)
+    SELECT 0 AS layer, 'customer' AS dataset, (SELECT count(*) FROM customer) AS n_rows
+    UNION ALL SELECT 0, 'orders', (SELECT count(*) FROM orders)
+    UNION ALL SELECT 1, 'orders', (SELECT count(*) FROM filtered)
+    UNION ALL SELECT 2, 'large', (SELECT count(*) FROM fused)
+    UNION ALL SELECT 3, 'large', (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM fused))
+""")
+def pipeline_counts(spark, sf_dir):
+    """Rows after every layer, counted while the target is written."""
+    rule = [_filter("o_totalprice", ">", "200000"), _rename("o_custkey", "c_custkey")]
+    step = {
+        "fused_dataset_name": "large", "datasets_to_fuse": ["orders", "customer"],
+        "fuse_by": "column", "fuse_on": "c_custkey",
+    }
+    target = {"type": "download", "datasets": ["large"], "conversions": {"large": "parquet"}}
+    layers = [
+        {"layer_type": "Source", "layer_selection": {"Files": _files(sf_dir, "customer", "orders")}},
+        {"layer_type": "Processor", "layer_selection": {"orders": rule}},
+        {"layer_type": "Fusion", "layer_selection": [step]},
+        {"layer_type": "Processor", "layer_selection": {"large": [_drop("duplicates", "c_custkey")]}},
+        {"layer_type": "Target", "layer_selection": target},
+    ]
+    result = run_pipeline(spark, layers, output_dir=new_folder(spark, "out"), count_rows=True)
+    rows = [(c.layer, c.dataset, c.rows) for c in result.counts()]
+    return spark.createDataFrame(rows, "layer int, dataset string, n_rows long")
+
+
 @query("""
     SELECT event_id, event_type, value FROM events WHERE event_type IN ('purchase', 'signup')
 """)

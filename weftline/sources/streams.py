@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.errors import SourceError, SpecError
+from weftline.functions.columns import quoted, type_of
 from weftline.sources.decode import decode_json
 
 
@@ -48,5 +51,9 @@ def read_stream(
         # the event time must be parsed, whatever the rules use
         df = decode_json(df, spec["schema_skeleton"], rules=None if watermark else rules)
     if watermark and df.isStreaming:
+        # event time has a zone; one without is taken in the session's
+        time = F.col(quoted(watermark["column"]))
+        if isinstance(type_of(df, time), T.TimestampNTZType):
+            df = df.withColumn(watermark["column"], time.cast("timestamp"))
         df = df.withWatermark(watermark["column"], watermark["delay"])
     return df

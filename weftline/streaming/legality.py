@@ -32,6 +32,18 @@ def check_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
         )
 
 
+def check_join_within(
+    left: DataFrame, right: DataFrame, left_time: str, right_time: str, how: str
+) -> None:
+    """Two streams need a watermark on both times; else the usual rules for joins hold."""
+    if (left.isStreaming, right.isStreaming) != (True, True):
+        check_join(left, right, [], how)
+        return
+    for side, df, time in (("left", left, left_time), ("right", right, right_time)):
+        if not _has_watermark(df, time):
+            raise StreamError(f"the {side} side needs a watermark on {time!r} to bound its state")
+
+
 def check_union(inputs: list[DataFrame]) -> None:
     if len({df.isStreaming for df in inputs}) > 1:
         raise StreamError("row fusion cannot mix streams with static datasets")

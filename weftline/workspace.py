@@ -55,6 +55,15 @@ class Workspace:
             df.createOrReplaceTempView(view_name(name))
         return df
 
+    def replace(self, name: str, df: DataFrame, imported: bool) -> None:
+        """Put an equal DataFrame in place of a dataset; what is known of the old one stays known."""
+        known = self.lineage(name)
+        if imported:
+            self.base[name] = df
+        self.update(name, df)
+        if known is not None:
+            self.lineages[name] = (df, known)
+
     def save(self, name: str, df: DataFrame, overwrite: bool = False) -> None:
         """Name a snapshot of a dataset; the first holder of a name keeps it by default."""
         if overwrite or name not in self.current:
