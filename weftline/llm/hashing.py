@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; bounds memory for long texts as well.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Rows of a chunk, at most.
+ROWS = 4096
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_VALUES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,13 +51,13 @@ _cached = {"n": 0}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _cached["n"] < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK + 4096)
         _cached.update(n=size, up=_powers(_BASE, size), down=_powers(_INVERSE, size))
     return _cached["up"][:n], _cached["down"][:n]
 
 
 def batches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row ends) of runs of rows with about CHUNK bytes; null is empty."""
+    """(first row, bytes, row ends) of runs of up to ROWS rows and about CHUNK bytes; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -63,7 +65,7 @@ def batches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < len(column):
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, side="right")) - 1)
-        last = min(last, len(column))
+        last = min(last, len(column), row + ROWS)
         yield row, raw[ends[row] : ends[last]], ends[row + 1 : last + 1] - ends[row]
         row = last
 

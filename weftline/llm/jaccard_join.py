@@ -9,8 +9,8 @@ more, so a set can only link with one that holds ceil(0.9 n) of its own shingles
    (one in ``PART``), rare ones first, by their counts over all sets; then the rest, by hash. Only
    shingles that two sets hold can link them, so most sets are settled by this alone.
 3. Sets that share such a shingle, directly or through others, go to one search block, together
-   with other small groups; a group of more than ``BLOCK`` shingles is cut into parts, and every two
-   parts form a block. Sets of different blocks cannot link.
+   with other small groups; a very large group is cut into parts, and every two parts form a block
+   (``blocks``). Sets of different blocks cannot link.
 4. In a block, an inverted index is built and every set is searched by DivideSkip: its L longest
    lists are set aside, a heap merges the others (entries outside the size window, or already in the
    set's own component, are skipped), sets met T - L times or more are kept, and probed for in the
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.blocks import Forest, search_blocks
 from weftline.llm.common import materialize, pack, ship_package
 from weftline.llm.hashing import LOWER, batches, mix, shingles, word_hashes
 from weftline.llm.near_duplicates import components, text_key
@@ -43,8 +44,6 @@ SHINGLE = 3
 PERCENT = 90
 #: One in PART shingles is counted over all sets.
 PART = 4
-#: Shingles of one search block: of many small groups, and of one part of a large group.
-BIN, BLOCK = 1 << 17, 1 << 20
 #: Weight of a heap step against a probe, from the paper on DivideSkip; and the entries from which
 #: on as many lists as possible are set aside, since a probe costs less here than a heap step.
 MU, LONG_MERGE = 0.0085, 2048
@@ -122,25 +121,6 @@ def _gram_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["node", "part", "blocks", "grams"])
 
 
-class _Forest:
-    """Components of a block's sets; ``of`` is always the root, so arrays can be looked up at once."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-        self.members = {i: [i] for i in range(n)}
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = int(self.of[a]), int(self.of[b])
-        if a == b:
-            return False
-        if len(self.members[a]) < len(self.members[b]):
-            a, b = b, a
-        moved = self.members.pop(b)
-        self.of[moved] = a
-        self.members[a].extend(moved)
-        return True
-
-
 def search_block(
     sets: list[np.ndarray], parts: np.ndarray, percent: int = PERCENT
 ) -> list[tuple[int, int]]:
@@ -172,7 +152,7 @@ def search_block(
         list_of[shared][mine], np.cumsum(np.bincount(entries[shared], minlength=n_sets))[:-1]
     )
 
-    forest, links = _Forest(n_sets), []
+    forest, links = Forest(n_sets), []
     for q in range(n_sets):
         n, lists = int(sorted_sizes[q]), own_lists[q]
         t = max(int(required(n, percent)), 1)
@@ -273,28 +253,6 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(groups: DataFrame) -> DataFrame:
-    """(node, part, blocks) for (node, root, n): the search blocks that a set takes part in."""
-    weights = groups.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("sets"))
-    weights = weights.where("sets > 1")
-    total = weights.agg(F.sum(F.when(F.col("weight") <= BLOCK, F.col("weight")))).first()[0] or 0
-    bins = max(1, -(-total // BIN))
-    parts = F.ceil(F.col("weight") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda i: F.concat_ws(
-            ":", F.col("root").cast("string"), F.least("part", i), F.greatest("part", i)
-        ),
-    )
-    small = F.array(F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string"))
-    return (
-        groups.join(weights.select("root", parts.alias("parts")), "root")
-        .withColumn("part", F.when(F.col("parts") > 1, part).otherwise(F.lit(0)))
-        .select("node", "part", F.when(F.col("parts") > 1, pairs).otherwise(small).alias("blocks"))
-    )
-
-
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(by_text, nodes, links): ``text_key, n, key`` per distinct text, ``key, node, doc_id`` per
     distinct set, and ``a, b`` of links between nodes, enough to connect every component."""
@@ -326,7 +284,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     stars = prefixes.withColumnRenamed("node", "b").join(hubs.where("a < top"), "gram")
     groups = components(stars.where("a < b").select("a", "b").distinct())
     sized = materialize(groups.join(nodes.select("node", "n", "text_key"), "node"), "join-groups")
-    needed = sized.select("node", "text_key").join(_blocks(sized), "node")
+    needed = sized.select("node", "text_key").join(search_blocks(sized), "node")
     # rows with the same text are the same set: one of them is enough
     texts = worded.select("text_key", "text").join(needed, "text_key")
     texts = texts.groupBy("node").agg(F.first(F.struct("text", "part", "blocks")).alias("one"))

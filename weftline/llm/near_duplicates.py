@@ -6,16 +6,16 @@
    occurs ``w`` times uses the part of them below ``w``. Each point falls on one register, which
    keeps the earliest. Two texts agree on a register with a probability equal to their weighted
    Jaccard similarity. A process is followed only until all registers are sure to be hit.
-3. Registers are banded. In a bucket, all members are compared with the smallest one, and links
-   of similarity 0.8 or more are joined to components. Members that are still outside their
-   bucket's largest component are then compared with all members outside their own component,
-   so that no link between components is missed although no group is paired out in full. Four bits
-   of every register go along as a sketch: pairs whose sketches agree in fewer places than a pair
-   at the threshold does (by 3.6 standard deviations) are not formed.
+3. Registers are banded. Nodes that share a band bucket, directly or through others, go to one
+   search block (``blocks``). There, each node is compared with those before it that share a bucket
+   and are not in its component yet: four bits of every register go along as a sketch, and pairs
+   whose sketches agree in fewer places than a pair at the threshold does (by 3.6 standard
+   deviations) are left out; the others are compared exactly, the likeliest first. Only links that
+   join two components are sent on, so a block of n nodes gives less than n rows.
 4. The class of a row is the smallest doc_id in its component.
 
-Pairs are compared on the multisets of 64-bit shingle hashes. Labels, pairs and components are
-DataFrames throughout; each round is written to the shared folder.
+Nodes are compared on the multisets of 64-bit shingle hashes. Labels, links and components are
+DataFrames throughout; each round of components is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.blocks import Forest, search_blocks
 from weftline.llm.common import materialize, pack, ship_package
 from weftline.llm.hashing import batches, mix, shingles, word_hashes
 
@@ -36,10 +37,11 @@ BANDS = 32
 ROWS = 7
 #: Four bits of each register, 16 registers to a long.
 SKETCH_LONGS = BANDS * ROWS // 16
-#: Equal places of two sketches at similarity 0.8 have mean 182 and standard deviation 5.8. Likely
-#: pairs are compared first, as they merge components; then those down to 3.6 deviations below the
-#: mean, which leaves out one pair in 6,000 at the very threshold.
-SKETCH_LIKELY, SKETCH_EQUAL = 182, 161
+#: Equal places of two sketches at similarity 0.8 have mean 182 and standard deviation 5.8; this is
+#: 3.6 deviations below the mean, which leaves out one pair in 6,000 at the very threshold.
+SKETCH_EQUAL = 161
+#: Points of Poisson processes drawn at a time, which bounds memory whatever the texts are.
+DRAWN = 1 << 19
 
 
 def text_key(text: Column) -> Column:
@@ -82,13 +84,14 @@ def bag_minhash(
     todo = total > 0
     while todo.any():
         live = np.flatnonzero(todo[row])
-        time = np.zeros(len(live))
-        drawn, block = 0, 1
+        time, drawn, block = np.zeros(len(live)), 0, 1
         while len(live):
             step = np.arange(drawn, drawn + block, dtype=np.uint64) * np.uint64(3)
             base = seed[live][:, None]
             gaps = -np.log(_uniform(mix(base + step))) / width[live][:, None]
-            times = time[:, None] + np.cumsum(gaps, axis=1)
+            # one after another, so that times do not depend on how many are drawn at once
+            gaps[:, 0] += time
+            times = np.cumsum(gaps, axis=1)
             use = times <= horizon[row[live]][:, None]
             i, j = np.nonzero(use)
             if len(i):
@@ -101,7 +104,7 @@ def bag_minhash(
             time = times[:, -1]
             keep = use[:, -1]
             live, time = live[keep], time[keep]
-            drawn, block = drawn + block, min(2 * block, 256)
+            drawn, block = drawn + block, max(1, min(2 * block, DRAWN // max(len(live), 1)))
         todo &= np.isinf(signature.reshape(n_rows, registers)).any(axis=1)
         horizon = horizon * 2
     return signature.reshape(n_rows, registers)
@@ -122,20 +125,6 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(places << shifts, axis=2).view(np.int64)
 
 
-def may_be_similar(
-    a: Column, b: Column, equal: int = SKETCH_EQUAL, below: int | None = None
-) -> Column:
-    """Whether ``equal`` or more places of two sketches agree, and less than ``below``."""
-    apart = F.lit(0)
-    for i in range(SKETCH_LONGS):
-        x = a[i].bitwiseXOR(b[i])
-        half = x.bitwiseOR(F.shiftright(x, 1))
-        odd = half.bitwiseOR(F.shiftright(half, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        apart = apart + F.bit_count(odd)
-    near = apart <= BANDS * ROWS - equal
-    return near if below is None else near & (apart > BANDS * ROWS - below)
-
-
 def _lists(values: np.ndarray) -> pa.ListArray:
     n, width = values.shape
     offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
@@ -151,57 +140,107 @@ def _signatures(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, owner = shingles(hashes, rows, n, SHINGLE)
             signature = bag_minhash(items, owner, n, BANDS * ROWS)
             buckets = _lists(band_hashes(signature, BANDS, ROWS))
-            columns = [keys.slice(start, n), buckets, _lists(sketches(signature))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "buckets", "sketch"])
-
-
-def _side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    items, owners = [], []
-    for start, raw, ends in batches(column):
-        hashes, rows, _ = word_hashes(raw, ends)
-        found, owner = shingles(hashes, rows, len(ends), SHINGLE)
-        items.append(found)
-        owners.append(owner + start)
-    return np.concatenate(items), np.concatenate(owners)
-
-
-def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets, pair by pair."""
-    if not len(left):
-        return np.zeros(0)
-    (a, a_row), (b, b_row) = _side(left), _side(right)
-    items, rows = np.concatenate((a, b)), np.concatenate((a_row, b_row))
-    sign = np.concatenate((np.ones(len(a)), -np.ones(len(b))))
-    order = np.lexsort((items, rows))
-    items, rows, sign = items[order], rows[order], sign[order]
-    start = np.ones(len(items), dtype=bool)
-    start[1:] = (items[1:] != items[:-1]) | (rows[1:] != rows[:-1])
-    at = np.flatnonzero(start)
-    # sum of |a - b| over the items, and a + b: from them the sums of minima and maxima
-    apart = np.bincount(rows[at], np.abs(np.add.reduceat(sign, at)), minlength=len(left))
-    both = np.bincount(rows, minlength=len(left))
-    return (both - apart) / np.maximum(both + apart, 1)
-
-
-def _verified(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size = pa.array(np.bincount(owner, minlength=n))
+            columns = [keys.slice(start, n), buckets, _lists(sketches(signature)), size]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "buckets", "sketch", "size"])
+
+
+def _item_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their multisets of shingle hashes: distinct ones in order, and how often each."""
+    kept = ["node", "part", "blocks", "buckets", "sketch"]
     for part in parts:
-        for begin in range(0, len(part), 256):
-            some = part.slice(begin, 256)
-            score = similarities(some.column("a_text"), some.column("b_text"))
-            near = pa.array(score >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays(
-                [some.column("a").filter(near), some.column("b").filter(near)], ["a", "b"]
-            )
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough, by the texts (node, text)."""
-    joined = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        .select("a", "b", "a_text", "b_text")
+        for start, raw, ends in batches(part.column("text")):
+            n = len(ends)
+            hashes, rows, _ = word_hashes(raw, ends)
+            items, owner = shingles(hashes, rows, n, SHINGLE)
+            order = np.lexsort((items, owner))
+            items, owner = items[order], owner[order]
+            new = np.ones(len(items), dtype=bool)
+            new[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(items))).astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[at], minlength=n))))
+            offsets = pa.array(offsets.astype(np.int32))
+            columns = [part.column(c).slice(start, n) for c in kept]
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(items[at].view(np.int64))))
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(times)))
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "items", "times"])
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two multisets (distinct items in order, times)."""
+    (items, times), (others, other_times) = a, b
+    place = np.minimum(np.searchsorted(others, items), max(len(others) - 1, 0))
+    same = others[place] == items if len(others) else np.zeros(len(items), dtype=bool)
+    shared = int(np.minimum(times[same], other_times[place[same]]).sum())
+    total = int(times.sum() + other_times.sum()) - shared
+    return shared / total if total else 0.0
+
+
+def _agreeing(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Equal places of a sketch with each of the others."""
+    x = sketch[None, :] ^ others
+    half = x | (x >> np.uint64(1))
+    odd = (half | (half >> np.uint64(2))) & np.uint64(0x1111111111111111)
+    return BANDS * ROWS - np.bitwise_count(odd).sum(axis=1, dtype=np.int64)
+
+
+def link_block(
+    bags: list[tuple[np.ndarray, np.ndarray]],
+    buckets: np.ndarray,
+    sketch: np.ndarray,
+    parts: np.ndarray,
+    least: float = SIMILARITY,
+) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components of the nodes; not those that close a ring.
+
+    Where ``parts`` has two values, links within a part are left to the part's own block.
+    """
+    n = len(bags)
+    forest, links = Forest(n), []
+    apart = len(np.unique(parts)) > 1
+    flat = buckets.ravel()
+    node = np.repeat(np.arange(n), buckets.shape[1] if n else 0)
+    order = np.lexsort((node, flat))
+    flat, node = flat[order], node[order]
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = flat[1:] != flat[:-1]
+    starts = np.flatnonzero(first)[np.cumsum(first) - 1] if len(flat) else np.zeros(0, np.int64)
+    place = np.flatnonzero(starts < np.arange(len(flat)))  # entries with a node before them
+    by_node = place[np.argsort(node[place], kind="stable")]
+    bounds = np.cumsum(np.bincount(node[place], minlength=n))
+    for i in range(n):
+        mine = by_node[(bounds[i - 1] if i else 0) : bounds[i]]
+        if not len(mine):
+            continue
+        met = np.concatenate([node[a:b] for a, b in zip(starts[mine].tolist(), mine.tolist())])
+        met = met[forest.of[met] != forest.of[i]]
+        if apart:
+            met = met[parts[met] != parts[i]]
+        met = np.unique(met)
+        equal = _agreeing(sketch[i], sketch[met])
+        likely = np.argsort(-equal, kind="stable")
+        for j in met[likely[equal[likely] >= SKETCH_EQUAL]].tolist():
+            if forest.of[j] != forest.of[i] and similarity(bags[i], bags[j]) >= least:
+                forest.join(i, j)
+                links.append((i, j))
+    return links
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    table = table.combine_chunks()
+    columns = {c: table.column(c).chunk(0) for c in ("items", "times", "buckets", "sketch")}
+    ends = np.cumsum(columns["items"].value_lengths().to_numpy())[:-1]
+    items = np.split(columns["items"].flatten().to_numpy().view(np.uint64), ends)
+    times = np.split(columns["times"].flatten().to_numpy(), ends)
+    nodes = table.column("node").to_numpy()
+    buckets = columns["buckets"].flatten().to_numpy().reshape(len(nodes), BANDS)
+    sketch = columns["sketch"].flatten().to_numpy().reshape(len(nodes), SKETCH_LONGS)
+    found = link_block(
+        list(zip(items, times)), buckets, sketch.view(np.uint64), table.column("part").to_numpy()
     )
-    return materialize(joined.mapInArrow(_verified, "a long, b long"), "near-links")
+    a, b = [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,53 +275,6 @@ def _with_root(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _crossing(
-    members: DataFrame, labels: DataFrame, drawn: DataFrame, equal: int, below: int | None
-) -> DataFrame:
-    """Pairs (a, b) of likely enough nodes from one bucket but different components, of which at
-    least one is outside the bucket's largest component. A pair comes from its first bucket only.
-
-    Components only grow, so pairs that are still apart were so in the round before, which has
-    compared those that agree in ``below`` places or more: they are not formed again.
-    """
-    labelled = materialize(
-        _with_root(members.select("node", "bucket"), labels).select("bucket", "node", "root"),
-        "near-labelled",
-    )
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")
-    )
-    several = materialize(
-        main.where("parts > 1").select("bucket", F.col("top.root").alias("main")), "near-open"
-    )
-    # a pair need not share its first bucket as an open one with the same largest component, so
-    # the first one is sought among the open buckets of both nodes where one of them is outside
-    held = labelled.join(several, "bucket").withColumn("out", F.col("root") != F.col("main"))
-    outside = held.groupBy("node").agg(
-        F.collect_set("bucket").alias("open"),
-        F.collect_set(F.when(F.col("out"), F.col("bucket"))).alias("minor"),
-    )
-    held = materialize(
-        held.join(outside, "node").join(drawn.select("node", "sketch"), "node"), "near-held"
-    )
-    minor = held.where("out").select(
-        F.col("bucket").alias("in"),
-        *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "sketch", "open", "minor")],
-    )
-    apart = (F.col("a_root") != F.col("root")) & (~F.col("out") | (F.col("a_node") < F.col("node")))
-    near = may_be_similar(F.col("a_sketch"), F.col("sketch"), equal, below)
-    eligible = F.array_union(
-        F.array_intersect("a_minor", "open"), F.array_intersect("minor", "a_open")
-    )
-    first = F.array_min(eligible) == F.col("bucket")
-    return (
-        minor.join(held, (F.col("in") == F.col("bucket")) & apart & near & first)
-        .select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b"))
-        .distinct()
-    )
-
-
 def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``row`` (all columns, or ``carry``), ``doc_id``, ``class_id``, ``class_size``, ``root`` and
     ``n_first``, the number of rows of the class that bear ``class_id`` as their doc_id.
@@ -296,7 +288,7 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     worded = texts.where("key IS NOT NULL")
     drawn = worded.select("key", "text").mapInArrow(
-        _signatures, "key binary, buckets array<long>, sketch array<long>"
+        _signatures, "key binary, buckets array<long>, sketch array<long>, size long"
     )
     signed = materialize(drawn, "near-signed")
     by_id = worded.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
@@ -306,46 +298,36 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     )
     nodes = (
         signed.groupBy("key")
-        .agg(F.first(F.struct("buckets", "sketch")).alias("drawn"))
+        .agg(F.first(F.struct("buckets", "sketch", "size")).alias("drawn"))
         .select("key", "drawn.*")
         .join(ids, "key")
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = materialize(nodes, "near-nodes")
     spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    crowded = shared.where("low < high").select("bucket", "low")
-    members = materialize(spread.join(crowded, "bucket"), "near-members")
-
-    # the texts of all nodes that share a bucket, moved once
-    needed = nodes.join(members.select("node").distinct(), "node").select(
-        "node", F.col("key").alias("node_key"), F.col("first.doc_id").alias("node_doc")
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("high"))
+    stars = spread.withColumnRenamed("node", "b").join(shared.where("a < high"), "bucket")
+    groups = components(stars.where("a < b").select("a", "b").distinct())
+    sized = groups.join(nodes.select("node", F.col("size").alias("n")), "node")
+    needed = search_blocks(materialize(sized, "near-groups")).join(
+        nodes.select("node", "key", "buckets", "sketch"), "node"
+    )
+    # rows with the same text are one node: one of them is enough
+    texts = worded.select("key", "text").join(needed, "key").groupBy("node").agg(
+        F.first(F.struct("text", "part", "blocks", "buckets", "sketch")).alias("one")
+    )
+    rows = texts.select("node", "one.*").mapInArrow(
+        _item_rows,
+        "node long, part int, blocks array<string>, buckets array<long>, sketch array<long>,"
+        " items array<long>, times array<int>",
     )
-    needed = materialize(needed, "near-needed")
-    same = (F.col("key") == F.col("node_key")) & F.col("doc_id").eqNullSafe(F.col("node_doc"))
-    found = worded.join(needed, same).groupBy("node").agg(F.first("text").alias("text"))
-    found = materialize(found, "near-texts")
-
-    stars = members.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    drawn = nodes.select("node", "sketch")
-    stars = (
-        stars.distinct()
-        .join(drawn.withColumnsRenamed({"node": "a", "sketch": "a_sketch"}), "a")
-        .join(drawn.withColumnsRenamed({"node": "b", "sketch": "b_sketch"}), "b")
-        .where(may_be_similar(F.col("a_sketch"), F.col("b_sketch")))
+    found = (
+        rows.withColumn("block", F.explode("blocks"))
+        .drop("blocks")
+        .groupBy("block")
+        .applyInArrow(_linked, "a long, b long")
     )
-    stars = materialize(stars.select("a", "b"), "near-pairs")
-    links = verify(stars, found)
-    labels = components(links)
-
-    # what is left: buckets that still hold several components
-    for equal, below in ((SKETCH_LIKELY, None), (SKETCH_EQUAL, SKETCH_LIKELY)):
-        pairs = _crossing(members, labels, drawn, equal, below)
-        pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-        more = verify(pairs, found)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    labels = components(materialize(found, "near-links"))
 
     rooted = _with_root(nodes.select("node", "key", "first", "n"), labels)
     firsts = rooted.groupBy("root", "first.none", "first.doc_id").agg(
