@@ -178,11 +178,10 @@ def transform(docs: DataFrame, carry: list[str] | None = None, seed: int = SEED)
         .otherwise(F.lit("psm"))
     )
     packed = pack(docs, carry, text=text, form=form, h1=h1, h2=h2)
-    row = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(
-        _arranged,
-        f"row {row}, n long, form string, prefix_chars long, middle_chars long, output string",
-    )
+    schema = packed.select("row").schema.add("n", "long").add("form", "string")
+    for name in ("prefix_chars", "middle_chars"):
+        schema = schema.add(name, "long")
+    return packed.mapInArrow(_arranged, schema.add("output", "string"))
 
 
 def restored(output: Column, form: Column) -> Column:
