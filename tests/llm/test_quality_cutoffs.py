@@ -1,0 +1,85 @@
+"""Certified cutoffs against a plain count of trials, and with rows that repeat."""
+
+import math
+import random
+
+import pytest
+
+from weftline.llm import quality_rules
+
+
+def _documents():
+    draw = random.Random(8)
+    rows, labels = [], []
+    for i in range(240):
+        words = [f"w{draw.randrange(900)}" for _ in range(80)]
+        lines = [" ".join(words[k : k + 8]) for k in range(0, 80, 8)]
+        if i % 5 == 0:
+            lines[3] += " #*$" * draw.randrange(30)
+        if i % 7 == 0:
+            lines += lines[: draw.randrange(8)]
+        rows.append((i, "\n".join(lines), "en" if i % 3 else "de"))
+        labels.append((i, 1 if i % 4 else 0))
+    return rows, labels
+
+
+def _cutoffs(rows, labels, alpha, delta):
+    """Brute force: distinct good texts of a stratum are the trials."""
+    good_ids = {i for i, quality in labels if quality == 1}
+    trials = {}
+    for doc_id, text, lang in rows:
+        words = text.split()
+        lines = [line for line in text.split("\n") if line.strip()]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        if doc_id not in good_ids or len(words) < 50 or 100 * len(covered) > 50 * len(words):
+            continue
+        trials.setdefault(lang, {})[text] = {
+            "symbols_per_word": sum(c in "#*$%&|<>" for c in text) / len(words),
+            "dup_line_share": (len(lines) - len(set(lines))) / len(lines),
+            "repeat_word_share": len(covered) / len(words),
+            "chars_per_word": sum(map(len, words)) / len(words),
+        }
+    risk, level = alpha / 4, delta / (4 * len(trials))
+    found = {}
+    for lang, texts in trials.items():
+        n = len(texts)
+        for rule, cuts in quality_rules.LADDERS.items():
+            found[lang, rule] = None
+            for cut in cuts:
+                k = sum(scores[rule] >= cut for scores in texts.values())
+                tail = sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))
+                if k > n * risk or tail > level:
+                    break
+                found[lang, rule] = cut
+    return found
+
+
+def _certified(spark, rows, labels, alpha, delta):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = spark.createDataFrame(labels, "doc_id long, quality int")
+    cutoffs = quality_rules.certified_cutoffs(quality_rules.measure(docs), truth, alpha, delta)
+    return {
+        (r.stratum, rule): r[f"cut_{rule}"] for r in cutoffs.collect() for rule in quality_rules.LADDERS
+    }
+
+
+@pytest.mark.parametrize("alpha, delta", [(0.6, 0.4), (0.3, 0.1)])
+def test_cutoffs_equal_brute_force(spark, alpha, delta):
+    rows, labels = _documents()
+    want = _cutoffs(rows, labels, alpha, delta)
+    assert sum(cut is not None for cut in want.values()) >= 2
+    got = _certified(spark, rows, labels, alpha, delta)
+    assert {k: got.get(k) for k in want} == want
+
+
+def test_copies_are_no_more_evidence(spark):
+    """Each row 16 times, and copies of a good text under labelled doc_ids of their own."""
+    rows, labels = _documents()
+    alpha, delta = 0.3, 0.1
+    once = _certified(spark, rows, labels, alpha, delta)
+    copies = [(1_000 + i, text, lang) for i, text, lang in rows[:60] for _ in range(2)]
+    more = labels + [(1_000 + i, quality) for i, quality in labels[:60]]
+    assert _certified(spark, rows * 16 + copies, more, alpha, delta) == once
+    few = [r for r in rows if r[0] < 40]
+    assert all(cut is None for cut in _certified(spark, few * 16, labels, 0.1, 0.05).values())

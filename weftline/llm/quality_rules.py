@@ -98,12 +98,14 @@ def measure(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         carry,
         doc_id=F.col("doc_id"),
         stratum=F.coalesce(F.col("lang"), F.lit("")),
+        text_key=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
         s=text_stats(F.col("text")),
     )
     return rows.select(
         "row",
         "doc_id",
         "stratum",
+        "text_key",
         F.col("s.word.n").alias("n_words"),
         F.col("s.chars").alias("word_chars"),
         F.col("s.symbols").alias("n_symbols"),
@@ -166,14 +168,17 @@ def certified_cutoffs(
 ) -> DataFrame:
     """One row per stratum with the strictest certified cutoff of each rule (null: none).
 
-    Good documents are labelled rows with ``quality`` 1 that pass the base rule; a document with
-    several labels counts as good if any of them says so, which only protects more.
+    Trials are the good texts: those of labelled rows with ``quality`` 1 that pass the base rule, each
+    text of a stratum once, however many rows or documents bear it, since copies are no independent
+    evidence. A text with several labels counts as good if any of them says so, which only protects
+    more.
     """
     truth = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good = (
         measured.where(~F.col("base_failed"))
-        .select("doc_id", "stratum", *[v.alias(k) for k, v in _scores().items()])
+        .select("doc_id", "stratum", "text_key", *[v.alias(k) for k, v in _scores().items()])
         .join(truth.where(F.col("quality") == 1).select("doc_id"), "doc_id")
+        .dropDuplicates(["stratum", "text_key"])  # the scores follow from the text
     )
     steps = [(rule, i, cut) for rule, cuts in LADDERS.items() for i, cut in enumerate(cuts)]
     counts = good.groupBy("stratum").agg(

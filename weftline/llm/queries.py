@@ -183,8 +183,8 @@ measured AS (
          len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
   FROM numbered n JOIN words USING (rid) LEFT JOIN covered c USING (rid)),
 ladder AS ({ladder}),
-good AS (SELECT rid FROM measured JOIN labels USING (doc_id)
-         WHERE NOT base_failed GROUP BY rid HAVING max(quality) = 1),
+good AS (SELECT min(rid) AS rid FROM measured JOIN labels USING (doc_id)
+         WHERE NOT base_failed GROUP BY stratum, t HAVING max(quality) = 1),
 counts AS (
   SELECT stratum, rule, step, cutoff, count(*) AS n, sum(bad) AS k
   FROM ladder WHERE rid IN (SELECT rid FROM good) GROUP BY ALL),
