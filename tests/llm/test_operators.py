@@ -196,14 +196,14 @@ def test_perfect_hash_is_minimal():
     assert sorted(token_store.slots(sizes, bits, keys, keys % 3)) == list(range(5000))
 
 
-ODD = ["", " ", "\n", "a  b", " a\n\n b\t c", "don't 's\n'd", "x y\u3000z\x85 q", "日本語 です。 a.b, c!"]
+ODD = ["", " ", "\n", "a  b", " a\n\n b\t c", "don't 's\n'd", "x y\u3000z\x85 q", "日本語 です。 a.b, c!",
+       "x<|endoftext|>y", "a <|endoftext|> b\nc d", "word### it's we're, '### 12%."]
 
 
 def test_pieces_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     for text, ids, spans in zip(
         ODD, bpe.encode_ids(ODD, tokenizer_path()), bpe.encode_spans(ODD, tokenizer_path()), strict=True
     ):

@@ -3,8 +3,10 @@
 The pre-tokenizer of these vocabularies starts a new pre-token at every space that stands between
 two other characters, and makes a lone line break a pre-token of its own, so a text may be cut
 there without changing its ids. Pieces repeat, and a worker keeps what it has encoded, up to a
-bound; new pieces are encoded many at a time, one to a line. Texts with other white space are cut
-only at lone spaces. Any other kind of tokenizer gets whole texts.
+bound in bytes; new pieces are encoded many at a time, one to a line, punctuation at the end of a
+word apart from it. Texts with other white space are cut only at lone spaces. Texts that hold the
+string of a special or added token are encoded as they are, as the library does it, and so is every
+text of any other kind of tokenizer; whole texts are not kept.
 """
 
 from __future__ import annotations
@@ -21,11 +23,27 @@ LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
 OTHER_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = ("  ", " \n", "\n ", "\n\n")
-#: Pieces that one Python worker keeps, about 200 bytes each; more are encoded anew.
-KEPT_PIECES = 800_000
+#: Bytes that one Python worker keeps of what it has encoded; more is encoded anew. A piece counts
+#: with its text, its ids and ``OVERHEAD`` for the objects that hold them.
+KEPT_BYTES, OVERHEAD = 96 << 20, 180
+#: A longer piece is no word, and is not kept.
+KEPT_PIECE = 64
+#: Punctuation after a word is a pre-token of its own; an apostrophe may begin one with letters.
+MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
 LINES = 2000
 
 
+class _Known(dict):
+    """What is encoded; notes what it is asked for in vain."""
+
+    def __init__(self):
+        self.asked: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        self.asked.append(piece)
+        return b""
+
+
 class PieceEncoder:
     """Encodes texts to arrays: token ids, or (first, end) character positions with ``spans``."""
 
@@ -34,7 +52,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -44,8 +61,10 @@ class PieceEncoder:
             and not before.get("add_prefix_space", True)
             and not spec.get("normalizer")
         )
+        added = [re.escape(token["content"]) for token in spec.get("added_tokens") or []]
+        self.special = re.compile("|".join(added)) if added else None
         self.spans = spans
-        self.known: dict[str, bytes] = {}
+        self.known, self.kept = _Known(), 0
         if self.cuts:
             self.line_break = self._run(["\n"])[0].ids
             self.known["\n"] = self._values(self._run(["\n"])[0]).tobytes()
@@ -70,7 +89,7 @@ class PieceEncoder:
         )
 
     def _cut(self, text: str) -> tuple[list[str], bool]:
-        if not self.cuts or not text:
+        if not self.cuts or not text or (self.special and self.special.search(text)):
             return [text], False
         if self._plain(text):
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"), True
@@ -83,10 +102,17 @@ class PieceEncoder:
             some = pieces[begin : begin + LINES]
             encoding = self._run(["\n".join(some)])[0]
             values = self._values(encoding)
-            ends = np.flatnonzero(np.array(encoding.ids) == self.line_break[0]).tolist()
+            ids = values if not self.spans else np.array(encoding.ids)
+            ends = [*np.flatnonzero(ids == self.line_break[0]).tolist(), len(values)]
             first, chars = 0, 0
-            for piece, end in zip(some, [*ends, len(values)], strict=True):
-                out[piece] = (values[first:end] - np.uint32(chars * self.spans)).tobytes()
+            if not self.spans:
+                raw = values.tobytes()
+                for piece, end in zip(some, ends, strict=True):
+                    out[piece] = raw[4 * first : 4 * end]
+                    first = end + 1
+                continue
+            for piece, end in zip(some, ends, strict=True):
+                out[piece] = (values[first:end] - np.uint32(chars)).tobytes()
                 first, chars = end + 1, chars + len(piece) + 1
         return out
 
@@ -94,50 +120,72 @@ class PieceEncoder:
         return (np.frombuffer(value, "<u4") + np.uint32(by)).tobytes() if self.spans else value
 
     def _encode_new(self, pieces: set[str], plain: bool) -> dict[str, bytes]:
+        """What the pieces encode to, and the words and marks that some are made of."""
         if not plain:
             new = list(pieces)
             found = zip(new, self._run(new), strict=True)
             return {piece: self._values(one).tobytes() for piece, one in found}
-        out, rest = {}, []
-        for piece in pieces:
-            # a mark after a letter is a pre-token of its own; the word may be known without it
-            if piece[-1] in ".,;:!?" and piece[-2:-1].isalpha():
-                word, mark = self.known.get(piece[:-1]), self.known.get(piece[-1])
-                if mark is None:
-                    mark = self._values(self._run([piece[-1]])[0]).tobytes()
-                    self.known[piece[-1]] = mark
-                if word is not None:
-                    out[piece] = word + self._shift(mark, len(piece) - 1)
-                    continue
-            rest.append(piece)
-        out.update(self._encode_lines(rest))
+        alone = {piece for piece in pieces if piece[-1].isalpha()}
+        known, split = self.known, []
+        for piece in pieces - alone:
+            marks = MARKS.search(piece)
+            if marks and piece[: marks.start()][-1:].isalpha():
+                word, mark = piece[: marks.start()], marks[0]
+                split.append((piece, word, mark))
+                if word not in known:
+                    alone.add(word)
+                if mark not in known:
+                    alone.add(mark)
+            else:
+                alone.add(piece)
+        out = self._encode_lines(list(alone))
+        for piece, word, mark in split:
+            first = out[word] if word in out else known[word]
+            last = out[mark] if mark in out else known[mark]
+            out[piece] = first + (self._shift(last, len(word)) if self.spans else last)
         return out
 
+    def _keep(self, new: dict[str, bytes]) -> None:
+        """Leave new pieces in ``known`` while they fit."""
+        size = 4 * sum(map(len, new)) + sum(map(len, new.values())) + OVERHEAD * len(new)
+        if self.kept + size <= KEPT_BYTES and all(len(piece) <= KEPT_PIECE for piece in new):
+            self.kept += size
+            return
+        for piece, value in new.items():
+            size = 4 * len(piece) + len(value) + OVERHEAD
+            if len(piece) <= KEPT_PIECE and self.kept + size <= KEPT_BYTES:
+                self.kept += size
+            else:
+                del self.known[piece]
+
     def encode(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
         """Per text its pieces and the packed values of each."""
         cut = [self._cut(text) for text in texts]
-        get = self.known.get
-        got = [list(map(get, pieces)) for pieces, _ in cut]
+        get, asked = self.known.__getitem__, self.known.asked
+        asked.clear()
+        got, again, new = [], [], {True: set(), False: set()}
+        for i, (pieces, plain) in enumerate(cut):
+            before = len(asked)
+            got.append(list(map(get, pieces)))
+            if len(asked) > before:
+                again.append(i)
+                new[plain].update(asked[before:])
         extra: dict[str, bytes] = {}
-        for plain in (True, False):
-            new = {
-                piece
-                for (pieces, kind), values in zip(cut, got, strict=True)
-                if kind is plain and None in values
-                for piece, value in zip(pieces, values, strict=True)
-                if value is None and piece not in extra
-            }
-            if new:
-                extra.update(self._encode_new(new, plain))
-        if extra and len(self.known) < KEPT_PIECES:
-            self.known.update(extra)
-        if extra:
-            got = [
-                [extra[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
-                if None in values
-                else values
-                for (pieces, _), values in zip(cut, got, strict=True)
-            ]
+        for plain, some in new.items():
+            if some:
+                extra |= self._encode_new(some, plain)
+        for i in again:
+            pieces, values = cut[i][0], got[i]
+            at = values.index(b"")
+            while True:
+                values[at] = extra[pieces[at]]
+                try:
+                    at = values.index(b"", at + 1)
+                except ValueError:
+                    break
+        self.known.update(extra)
+        self._keep(extra)
+        asked.clear()
         return [(pieces, values) for (pieces, _), values in zip(cut, got, strict=True)]
 
 
@@ -146,6 +194,16 @@ def encoder(path: str, spans: bool = False) -> PieceEncoder:
     return PieceEncoder(path, spans)
 
 
+def forget() -> None:
+    """Give back what this worker keeps of encoded pieces."""
+    encoder.cache_clear()
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id."""
+    return 1 + max(encoder(path).tokenizer.get_vocab(with_added_tokens=True).values())
+
+
 def encode_ids(texts: list[str], path: str) -> list[np.ndarray]:
     found = encoder(path).encode(texts)
     return [np.frombuffer(b"".join(values), dtype="<u4") for _, values in found]

@@ -10,8 +10,10 @@ Tokens are lower-case runs of letters and digits. Items with fewer tokens than t
 no seed: they leak where all their tokens follow each other in a text, without a substitution. In
 writing without spaces a run is one token, so such an item is found between marks or line ends, not
 within a longer run. Built-in expressions only. The benchmark side
-is broadcast if it has at most ``BROADCAST_SEEDS`` seeds (16 bytes each) and joined by a shuffle,
-whose hot partitions adaptive execution splits, if it has more; the result is the same.
+is broadcast if it has at most ``BROADCAST_SEEDS`` seeds (24 bytes each; the items that have seeds
+hold fewer tokens than there are seeds, but for ten each). If it has more, seeds are joined by a
+shuffle that carries a text's hash and a position with each, whose hot partitions adaptive execution
+splits, and the tokens are brought back for the texts that hit. The result is the same.
 """
 
 from __future__ import annotations
@@ -113,20 +115,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(items, "bench-items")
     known = seeds(items, ["item"], "item_h").withColumnRenamed("pos", "item_pos")
     known = materialize(known, "bench-seeds")
-    small = known.count() <= BROADCAST_SEEDS
-    all_items = items
-    known, items = (F.broadcast(known), F.broadcast(items)) if small else (known, items)
+    seeded = items.where(F.size("item_h") >= SHORTEST)
     texts = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("h")
     )
-    hits = seeds(texts, ["doc_id", "text_hash", "h"]).join(known, "seed").join(items, "item")
+    if known.count() <= BROADCAST_SEEDS:
+        hits = seeds(texts, ["doc_id", "text_hash", "h"]).join(F.broadcast(known), "seed")
+        hits = hits.join(F.broadcast(seeded), "item")
+    else:
+        hits = seeds(texts, ["text_hash"]).join(known, "seed")
+        hits = hits.select("text_hash", "item", "pos", "item_pos").distinct()
+        hits = materialize(hits, "bench-hits")
+        hits = texts.join(hits, "text_hash").join(seeded, "item")
     close = hits.where(
         _overlap(F.col("h"), F.col("item_h"), F.col("pos"), F.col("item_pos"))
     )
     found = close.groupBy("doc_id", "text_hash", "item", "item_id").agg(
         F.count(F.lit(1)).alias("n_hits")
     )
-    short = _short_leaks(texts, all_items)
+    short = _short_leaks(texts, items)
     return found if short is None else found.unionByName(short)
 
 

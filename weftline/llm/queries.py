@@ -278,7 +278,7 @@ SELECT rid, {i} AS rank, '{rule.kind}' AS kind, {rule.least} AS least,
        list_transform(regexp_extract_all(t, {quoted(rule.pattern)}, {rule.group}),
                       lambda x: len(x)) AS checked
 FROM numbered WHERE regexp_matches(t, {quoted(rule.pattern)})"""
-        for i, rule in enumerate(secret_scan.RULES)
+        for i, rule in enumerate(secret_scan.ALL_RULES)
     )
     base = len(secret_scan.BASE_RULES)
     joined = "string_agg(kind || ':' || (upto - size) || ':' || upto, ',' ORDER BY upto - size, rank)"
@@ -363,9 +363,13 @@ leaks AS (
   SELECT DISTINCT rid, item, item_id FROM laid
   WHERE list_max(list_transform(range(1, greatest(len(e) - size + 1, 1) + 1),
                  lambda s: list_sum(e[s:s + size - 1]))) >= size * {decontaminate.TOLERANCE}),
+short AS (
+  SELECT rid, item, item_id FROM d JOIN i ON len(i.w) BETWEEN 1 AND {decontaminate.SHORTEST - 1}
+   AND list_contains(list_transform(range(1, len(d.w) - len(i.w) + 2),
+                                    lambda p: d.w[p:p + len(i.w) - 1]), i.w)),
 found AS (SELECT rid, count(*) AS n_items,
                  array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids
-          FROM (SELECT DISTINCT * FROM leaks) GROUP BY rid)
+          FROM (SELECT * FROM leaks UNION SELECT * FROM short) GROUP BY rid)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
        coalesce(item_ids, '') AS item_ids
 FROM d LEFT JOIN found USING (rid)"""

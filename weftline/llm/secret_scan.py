@@ -56,7 +56,7 @@ MORE_RULES = [
     Rule("url_password", "://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._%+-]{6,64}@"),
 ]
 
-#: The rules of the SQL.
+#: All kinds, before what is added below.
 RULES = BASE_RULES + MORE_RULES
 
 _URL_PASSWORD = Rule("url_password", "://[A-Za-z0-9._-]{1,}:[A-Za-z0-9._%+-]{6,}@")

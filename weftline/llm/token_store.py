@@ -6,13 +6,13 @@ Files below one shared folder:
   16- or 32-bit integers without separators. Shards follow each other in ascending doc_id order
   (rows without one first), documents within a shard too.
 * ``shards``: per shard its first global position and its length.
-* ``index``: buckets of about ``BUCKET`` keys. A key is a doc_id and the number of the row among
+* ``index``: buckets of about ``BUCKET`` keys, ``FILE_BUCKETS`` to a folder. A key is a doc_id and the number of the row among
   those with this doc_id. Each bucket holds a minimal perfect hash (levels of bits: at each level
   a key that has a position for itself sets its bit, the others go on) that gives every key a slot
   of its own without storing keys, and in the slot a fingerprint, the shard, offset and length.
 
-A look-up costs the same for any table size: one bucket, a few bits, one slot, one read of a
-shard. Foreign keys are told apart by the fingerprint, but for one in 2^32. Files are written
+A look-up costs the same for any table size: one index file, in it one bucket, a few bits and one
+slot, and one read of a shard. Foreign keys are told apart by the fingerprint, but for one in 2^32. Files are written
 under a task's own name and then renamed, so a task that runs again leaves the same files.
 """
 
@@ -30,12 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.bpe import encode_ids
+from weftline.llm.bpe import encode_ids, forget, vocabulary_size
 from weftline.llm.common import ship_package
 from weftline.llm.hashing import mix
 
 END_ID = 2
 BUCKET = 1024
+#: Buckets of one index file. A look-up reads the files that its keys fall in, and no others, unless
+#: they fall in more than ``MANY_FILES``, when the index is read as a whole.
+FILE_BUCKETS, MANY_FILES = 64, 1024
+#: A level places more than half of its keys; so many levels are never needed for distinct ones.
+MOST_LEVELS = 64
 #: Rows whose payload is read at once.
 READ_ROWS = 256
 
@@ -99,6 +104,10 @@ def _bucket(n_buckets: int) -> Column:
     return F.pmod(F.xxhash64("k1", "k2"), F.lit(n_buckets).cast("long")).alias("bucket")
 
 
+def _file() -> Column:
+    return F.floor(F.col("bucket") / FILE_BUCKETS).cast("long")
+
+
 def _hash(k1: np.ndarray, k2: np.ndarray, level: int) -> np.ndarray:
     salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
     return mix(mix(k1.astype(np.uint64) ^ salt) + mix(k2.astype(np.uint64) + salt))
@@ -109,10 +118,12 @@ def _fingerprint(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
 
 
 def build_levels(k1: np.ndarray, k2: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Sizes and bits of the levels. Keys must differ from each other."""
+    """Sizes and bits of the levels. Equal keys are an error: no level tells them apart."""
     sizes, bits = [], []
     left = np.arange(len(k1))
     while len(left):
+        if len(sizes) == MOST_LEVELS:
+            raise ValueError(f"keys are not distinct, e.g. {(int(k1[left[0]]), int(k2[left[0]]))}")
         size = 2 * len(left)
         at = _hash(k1[left], k2[left], len(sizes)) % np.uint64(size)
         alone = np.bincount(at.astype(np.int64), minlength=size) == 1
@@ -182,17 +193,17 @@ def _look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 
 def write_store(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, wide: bool = False
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
 ) -> DataFrame:
     """Write shards, shard table and index; returns the keys written (doc_id, k1, k2).
 
-    ``wide`` stores 32-bit ids, for vocabularies over 65,536. Null texts are empty and consist of
+    Ids are stored with 16 bits if the vocabulary and the end id allow it, else with 32. Null texts are empty and consist of
     the end id. Rows without doc_id come first. Rows with one doc_id are told apart by number, in
     the order of a hash of their texts. An empty table makes an empty store.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    dtype = "<u4" if wide else "<u2"
+    dtype = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "text_hash", "row"]
     texts = docs.select(
@@ -241,19 +252,27 @@ def write_store(
     n_buckets = max(1, -(-manifest.count() // BUCKET))
     index = (
         keys.select("k1", "k2", "shard", "offset", "n_tokens", _bucket(n_buckets))
-        .groupBy("bucket")
+        .withColumn("file", _file())
+        .repartition("file")
+        .groupBy("file", "bucket")
         .applyInPandas(_build, INDEX)
     )
-    index.withColumn("n_buckets", F.lit(n_buckets)).write.parquet(f"{folder}/index")
+    index.withColumn("n_buckets", F.lit(n_buckets)).withColumn("file", _file()).write.partitionBy(
+        "file"
+    ).parquet(f"{folder}/index")
     return keys.select("doc_id", "k1", "k2")
 
 
 def look_up(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Where the documents are: (k1, k2, shard, offset, n_tokens) for those keys that exist."""
-    index = spark.read.parquet(f"{folder}/index")
+    index = spark.read.schema(f"{INDEX}, n_buckets int, file long").parquet(f"{folder}/index")
     first = index.select("n_buckets").first()
     n_buckets = first[0] if first else 1
     asked = keys.select("k1", "k2", _bucket(n_buckets)).distinct()
+    if n_buckets > FILE_BUCKETS:
+        files = asked.select(_file().alias("file")).distinct().limit(MANY_FILES + 1).collect()
+        if len(files) <= MANY_FILES:
+            index = index.where(F.col("file").isin([r.file for r in files]))
     return (
         asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_look_up, FOUND)
     )
@@ -261,6 +280,7 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
 def _reader(folder: str, use: Callable[[np.ndarray], object], kind: pa.DataType) -> Callable:
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # this worker may have encoded texts before
         store, root = _filesystem(folder)
         for part in parts:
             for begin in range(0, len(part), READ_ROWS):
