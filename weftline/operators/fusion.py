@@ -98,10 +98,11 @@ def _fuse_columns(
     lineages = [
         _lineage(workspace, name, df, keys, mixed) for name, df in zip(datasets, inputs)
     ]
-    spread = skew_mode == "always" or (
-        skew_mode == "salt" and not skew.broadcasts(inputs, how)
+    spread = (
+        skew_mode != "adaptive"
+        and skew.comparable(inputs, keys)  # streams are not: their size is not asked for
+        and (skew_mode == "always" or not skew.broadcasts(inputs, how))
     )
-    spread = spread and skew.comparable(inputs, keys)
 
     fused, lineage = inputs[0], lineages[0]
     for right, name, right_lineage in zip(inputs[1:], datasets[1:], lineages[1:]):
