@@ -25,12 +25,12 @@ OTHER_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 RUNS = ("  ", " \n", "\n ", "\n\n")
 #: Bytes that one Python worker keeps of what it has encoded; more is encoded anew. A piece counts
 #: with its text, its ids and ``OVERHEAD`` for the objects that hold them.
-KEPT_BYTES, OVERHEAD = 96 << 20, 180
+KEPT_BYTES, OVERHEAD = 160 << 20, 180
 #: A longer piece is no word, and is not kept.
 KEPT_PIECE = 64
 #: Punctuation after a word is a pre-token of its own; an apostrophe may begin one with letters.
 MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
-LINES = 2000
+LINES = 20_000
 
 
 class _Known(dict):
@@ -204,6 +204,11 @@ def vocabulary_size(path: str) -> int:
     return 1 + max(encoder(path).tokenizer.get_vocab(with_added_tokens=True).values())
 
 
+def encode_packed(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers."""
+    return [b"".join(values) for _, values in encoder(path).encode(texts)]
+
+
 def encode_ids(texts: list[str], path: str) -> list[np.ndarray]:
     found = encoder(path).encode(texts)
     return [np.frombuffer(b"".join(values), dtype="<u4") for _, values in found]

@@ -25,16 +25,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.bpe import encode_ids, forget, vocabulary_size
+from weftline.llm.bpe import encode_packed, forget, vocabulary_size
 from weftline.llm.common import ship_package
 from weftline.llm.hashing import mix
 
 END_ID = 2
+#: Text that is encoded at once; also bounds how much the output of a step holds.
+ENCODED_BYTES = 1 << 20
 BUCKET = 1024
 #: Buckets of one index file. A look-up reads the files that its keys fall in, and no others, unless
 #: they fall in more than ``MANY_FILES``, when the index is read as a whole.
@@ -57,6 +60,17 @@ def _filesystem(folder: str):
     )
 
 
+def _by_bytes(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ENCODED_BYTES of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False)
+    upto, begin = np.cumsum(sizes), 0
+    while begin < len(part):
+        before = upto[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(upto, before + ENCODED_BYTES, side="right")))
+        yield part.slice(begin, stop - begin)
+        begin = stop
+
+
 def _writer(folder: str, tokenizer: str, end_id: int, dtype: str) -> Callable:
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -64,20 +78,20 @@ def _writer(folder: str, tokenizer: str, end_id: int, dtype: str) -> Callable:
         store, root = _filesystem(folder)
         own = f"{root}/.shard-{shard:06d}-{context.taskAttemptId()}"
         out, place, offset, last, same = None, 0, 0, None, 0
+        end = int(end_id).to_bytes(4, "little")
         for part in parts:
-            for begin in range(0, len(part), 64):
-                some = part.slice(begin, 64)
+            for some in _by_bytes(part):
                 texts = some.column("text").fill_null("").to_pylist()
-                ids = [np.append(x, np.uint32(end_id)) for x in encode_ids(texts, tokenizer)]
+                ids = [packed + end for packed in encode_packed(texts, tokenizer)]
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(own)
                 rows = []
                 for doc_id, one in zip(some.column("doc_id").to_pylist(), ids, strict=True):
                     same = same + 1 if place and doc_id == last else 0
-                    rows.append((doc_id, shard, place, same, offset, len(one)))
-                    last, place, offset = doc_id, place + 1, offset + len(one)
-                out.write(np.concatenate(ids).astype(dtype).tobytes())
+                    rows.append((doc_id, shard, place, same, offset, len(one) // 4))
+                    last, place, offset = doc_id, place + 1, offset + len(one) // 4
+                out.write(np.frombuffer(b"".join(ids), "<u4").astype(dtype).tobytes())
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), _KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, _NAMES)
         if out is not None:
