@@ -133,6 +133,26 @@ def test_near_duplicates_equal_exact_components(spark):
     assert got == dict(enumerate(smallest))
 
 
+def test_components_join_links_once_and_few_rows_later(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    dense = {(int(min(p)), int(max(p))) for p in rng.integers(0, 200, (4000, 2)) if p[0] != p[1]}
+    chain = (1000 + rng.permutation(60)).tolist()
+    links = sorted(dense) + list(zip(chain, chain[1:]))
+    made, join = [], type(spark.range(1)).join
+
+    def counting(self, *args, **named):
+        out = join(self, *args, **named)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "join", counting)
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in near_duplicates.components(frame).collect()}
+    assert got == dict.fromkeys(range(200), 0) | dict.fromkeys(chain, 1000)
+    assert sum(made) < 3 * len(links)  # one round over all links, both ways, makes two thirds of it
+    assert near_duplicates.components(frame.where("a < 0")).count() == 0
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 300).astype(np.uint64)

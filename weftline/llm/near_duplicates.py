@@ -246,29 +246,28 @@ def _linked(table: pa.Table) -> pa.Table:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in a link; root is the smallest node that links lead to.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so long
-    chains shorten geometrically.
+    Links join different nodes; an edge leads from a node to a smaller one. In each round, first the
+    smaller neighbours of a node are tied to the least of them, then every edge goes on to the least
+    neighbour of its smaller end, until each node has one edge, to its root. Edges that come to be
+    equal are merged, so later rounds join few more rows than there are nodes, whatever the number
+    of links, and long chains shorten geometrically.
     """
-    both = materialize(
-        links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges"
-    )
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    labels = materialize(
-        labels.select("node", F.least("node", "root").alias("root")), "near-labels"
-    )
+    edges = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("near"))
+    edges = materialize(edges.distinct(), "near-edges")
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(
-            F.min("root").alias("near")
-        )
-        lower = labels.join(around.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("mid")
+        least = edges.groupBy("node").agg(F.min("near").alias("low"))
+        tied = edges.join(least, "node").where("near > low").select("near", "low")
+        edges = materialize(least.union(tied).toDF("node", "near").distinct(), "near-edges")
+        least = edges.groupBy(F.col("node").alias("near")).agg(F.min("near").alias("low"))
+        onward = edges.join(least, "near", "left").groupBy(
+            "node", F.coalesce("low", "near").alias("root")
         )
-        lower = materialize(lower, "near-labels")
-        jump = lower.select(F.col("node").alias("mid"), F.col("mid").alias("root"))
-        step = materialize(lower.join(jump, "mid").select("node", "root", "old"), "near-labels")
-        if step.where("root <> old").isEmpty():
-            return step.select("node", "root")
-        labels = step.select("node", "root")
+        onward = materialize(onward.agg(F.max(F.expr("low IS NOT NULL")).alias("moved")), "near-edges")
+        edges = onward.select("node", F.col("root").alias("near"))
+        per_node = onward.groupBy("node").agg(F.max("moved").alias("moved"), F.count("*").alias("n"))
+        if per_node.where("moved OR n > 1").isEmpty():
+            roots = onward.select(F.col("root").alias("node"), "root").distinct()
+            return onward.select("node", "root").union(roots)
 
 
 def _with_root(df: DataFrame, labels: DataFrame) -> DataFrame:
