@@ -5,10 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import (
     bpe,
     classifier,
+    common,
     decontaminate,
     mixing,
     near_duplicates,
@@ -153,6 +155,42 @@ def test_components_join_links_once_and_few_rows_later(spark, monkeypatch):
     assert near_duplicates.components(frame.where("a < 0")).count() == 0
 
 
+def test_near_duplicates_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 4096)
+    texts = _drifting_chains()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small = {tuple(r) for r in near_duplicates.classify(docs, ["doc_id"]).select("doc_id", "class_id").collect()}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    monkeypatch.undo()
+    whole = near_duplicates.classify(docs, ["doc_id"]).select("doc_id", "class_id").collect()
+    assert small == {tuple(r) for r in whole}
+
+
+def test_encoding_workers_are_handed_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16, raising=False)
+    make = token_store._writer
+
+    def watched(*args):
+        write = make(*args)
+
+        def run(parts):
+            def bounded():
+                for part in parts:
+                    assert part.nbytes < 1 << 18, part.nbytes  # vectors may be half empty
+                    yield part
+
+            return write(bounded())
+
+        return run
+
+    monkeypatch.setattr(token_store, "_writer", watched)
+    docs = spark.range(800).select(
+        F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("ab "), 3000), "id").alias("text")
+    )
+    got = token_store.digests(spark, docs, str(tmp_path / "store"), tokenizer_path()).collect()
+    assert sorted(r.doc_id for r in got) == list(range(800))
+
+
 def test_bag_minhash_is_unbiased():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 300).astype(np.uint64)

@@ -30,7 +30,8 @@ KEPT_BYTES, OVERHEAD = 160 << 20, 180
 KEPT_PIECE = 64
 #: Punctuation after a word is a pre-token of its own; an apostrophe may begin one with letters.
 MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
-LINES = 20_000
+#: Pieces encoded in one call; the library holds several times their size.
+LINES = 2_000
 
 
 class _Known(dict):

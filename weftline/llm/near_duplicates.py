@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import Forest, search_blocks
-from weftline.llm.common import materialize, pack, ship_package
+from weftline.llm.common import materialize, pack, ship_package, small_batches
 from weftline.llm.hashing import batches, mix, shingles, word_hashes
 
 SHINGLE = 5
@@ -289,7 +289,8 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     drawn = worded.select("key", "text").mapInArrow(
         _signatures, "key binary, buckets array<long>, sketch array<long>, size long"
     )
-    signed = materialize(drawn, "near-signed")
+    with small_batches(docs.sparkSession):
+        signed = materialize(drawn, "near-signed")
     by_id = worded.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
     ids = by_id.groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first"),
@@ -326,7 +327,9 @@ def classify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         .groupBy("block")
         .applyInArrow(_linked, "a long, b long")
     )
-    labels = components(materialize(found, "near-links"))
+    with small_batches(docs.sparkSession):
+        found = materialize(found, "near-links")
+    labels = components(found)
 
     rooted = _with_root(nodes.select("node", "key", "first", "n"), labels)
     firsts = rooted.groupBy("root", "first.none", "first.doc_id").agg(

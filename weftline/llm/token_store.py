@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.bpe import encode_packed, forget, vocabulary_size
-from weftline.llm.common import ship_package
+from weftline.llm.common import ship_package, small_batches
 from weftline.llm.hashing import mix
 
 END_ID = 2
@@ -229,7 +229,8 @@ def write_store(
     parts = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     encode = _writer(folder, tokenizer, end_id, dtype)
     written = parts.select("doc_id", "text").mapInArrow(encode, MANIFEST)
-    written.write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        written.write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(written.schema).parquet(f"{folder}/manifest")
 
     # one row per shard from here: positions of shards, and doc_ids that go on from shard to shard
