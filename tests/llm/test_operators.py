@@ -270,6 +270,43 @@ def test_pieces_encode_as_whole_texts():
         assert [tuple(s) for s in spans.tolist()] == want.offsets
 
 
+def test_letters_and_marks_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    chars = [c for c in map(chr, range(0x21, 0x3000)) if not c.isspace()]
+    texts = [f"{c} a{c}b {c}, {c}{c}. ab{c}, x'{c}; {c}-a\n{c}\nx{c}." for c in chars]
+    for text, ids in zip(texts, bpe.encode_ids(texts, tokenizer_path()), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_are_looked_up_once_and_need_no_pre_tokenizer(monkeypatch):
+    class Counted(bpe._Known):
+        looked = 0
+
+        def __getitem__(self, piece):
+            self.looked += 1
+            return super().__getitem__(piece)
+
+        def get(self, piece):
+            self.looked += 1
+            return super().get(piece)
+
+    bpe.forget()
+    one, sent = bpe.encoder(tokenizer_path()), []
+    known, run = Counted(), one._run
+    known.update(one.known)
+    monkeypatch.setattr(one, "known", known)
+    monkeypatch.setattr(one, "_run", lambda texts: sent.extend(texts) or run(texts))
+    words = [f"{a}{b}lér" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(words[i % 50 :]) + ", and\nword" for i in range(400)]
+    found = bpe.encode_packed(texts, tokenizer_path())
+    assert known.looked < 500  # of about 30,000 pieces
+    assert not any(word in text for word in words for text in sent)
+    bpe.forget()
+    assert found == [bpe.encode_packed([text], tokenizer_path())[0] for text in texts]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, empty, rule):
     rows = token_counts.attribute(docs, tokenizer_path(), rule).collect()

@@ -7,6 +7,10 @@ bound in bytes; new pieces are encoded many at a time, one to a line, punctuatio
 word apart from it. Texts with other white space are cut only at lone spaces. Texts that hold the
 string of a special or added token are encoded as they are, as the library does it, and so is every
 text of any other kind of tokenizer; whole texts are not kept.
+
+Where only ids are asked for, Arrow finds the distinct pieces of many texts and lays out their ids,
+so that a piece is looked up once and not wherever it stands. New words of letters are one pre-token
+and go to the library's model without its pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -14,9 +18,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: White space besides space and line break, and the mark that cuts.
@@ -30,6 +37,15 @@ KEPT_BYTES, OVERHEAD = 160 << 20, 180
 KEPT_PIECE = 64
 #: Punctuation after a word is a pre-token of its own; an apostrophe may begin one with letters.
 MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
+#: Latin, Greek and Cyrillic letters, which are letters in every version of Unicode since 5.0, so that
+#: a run of them is a pre-token and marks after it another, whatever table the library was built with.
+LETTERS = "A-Za-zÀ-ÖØ-öø-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481"
+WORD = re.compile(f" ?[{LETTERS}]+")
+#: For Arrow: the marks between a letter and a cut.
+WORD_MARKS = rf"([{LETTERS}])([!-&(-/:-@\[-`{{-~]+)\x00"
+#: How byte-level vocabularies spell bytes: printable ones as they are, the others from U+0100 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SPELLED = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)).difference(PRINTABLE)))}
 #: Pieces encoded in one call; the library holds several times their size.
 LINES = 2_000
 
@@ -117,6 +133,21 @@ class PieceEncoder:
                 first, chars = end + 1, chars + len(piece) + 1
         return out
 
+    def _encode_words(self, pieces: set[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Ids of the pieces that are words of known letters, and the other pieces."""
+        out, others, tokenize = {}, set(), self.tokenizer.model.tokenize
+        for piece in pieces:
+            if not WORD.fullmatch(piece):
+                others.add(piece)
+                continue
+            if piece.isascii():
+                spelled = piece.replace(" ", "\u0120")
+            else:
+                spelled = piece.encode().decode("latin-1").translate(SPELLED)
+            ids = [one.id for one in tokenize(spelled)]
+            out[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out, others
+
     def _shift(self, value: bytes, by: int) -> bytes:
         return (np.frombuffer(value, "<u4") + np.uint32(by)).tobytes() if self.spans else value
 
@@ -126,6 +157,9 @@ class PieceEncoder:
             new = list(pieces)
             found = zip(new, self._run(new), strict=True)
             return {piece: self._values(one).tobytes() for piece, one in found}
+        words: dict[str, bytes] = {}
+        if not self.spans:
+            words, pieces = self._encode_words(pieces)
         alone = {piece for piece in pieces if piece[-1].isalpha()}
         known, split = self.known, []
         for piece in pieces - alone:
@@ -144,20 +178,17 @@ class PieceEncoder:
             first = out[word] if word in out else known[word]
             last = out[mark] if mark in out else known[mark]
             out[piece] = first + (self._shift(last, len(word)) if self.spans else last)
-        return out
+        return words | out
 
     def _keep(self, new: dict[str, bytes]) -> None:
-        """Leave new pieces in ``known`` while they fit."""
-        size = 4 * sum(map(len, new)) + sum(map(len, new.values())) + OVERHEAD * len(new)
-        if self.kept + size <= KEPT_BYTES and all(len(piece) <= KEPT_PIECE for piece in new):
-            self.kept += size
+        """Put new pieces into ``known`` while they fit."""
+        if self.kept + OVERHEAD > KEPT_BYTES:
             return
         for piece, value in new.items():
             size = 4 * len(piece) + len(value) + OVERHEAD
             if len(piece) <= KEPT_PIECE and self.kept + size <= KEPT_BYTES:
                 self.kept += size
-            else:
-                del self.known[piece]
+                self.known[piece] = value
 
     def encode(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
         """Per text its pieces and the packed values of each."""
@@ -184,11 +215,46 @@ class PieceEncoder:
                     at = values.index(b"", at + 1)
                 except ValueError:
                     break
-        self.known.update(extra)
         self._keep(extra)
         asked.clear()
         return [(pieces, values) for (pieces, _), values in zip(cut, got, strict=True)]
 
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        """Values of distinct pieces of plain texts."""
+        found = list(map(self.known.get, pieces))
+        new = {piece for piece, value in zip(pieces, found, strict=True) if value is None}
+        if new:
+            extra = self._encode_new(new, True)
+            found = [extra[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+            self._keep(extra)
+        return found
+
+    def _packed_plain(self, texts: list[str]) -> list[bytes]:
+        marked = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", "\0\n\0")
+        marked = pc.replace_substring(marked, " ", "\0 ")
+        marked = pc.replace_substring_regex(marked, WORD_MARKS, "\\1\0\\2\0")
+        cut = pc.split_pattern(marked, "\0")
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = pa.array(self._looked_up(distinct), pa.large_binary()).take(pieces.indices)
+        _, offsets, raw = values.buffers()
+        ends = np.frombuffer(offsets, np.int64)[cut.offsets.to_numpy()].tolist()
+        return [raw[a:b].to_pybytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The packed values of each text as a whole; for ids, not for spans."""
+        plain, rest = [], []
+        for i, text in enumerate(texts):
+            whole = not self.cuts or not text or (self.special and self.special.search(text))
+            (rest if whole or not self._plain(text) else plain).append(i)
+        out: list[bytes] = [b""] * len(texts)
+        if plain:
+            for i, value in zip(plain, self._packed_plain([texts[i] for i in plain]), strict=True):
+                out[i] = value
+        for i, (_, values) in zip(rest, self.encode([texts[i] for i in rest]), strict=True):
+            out[i] = b"".join(values)
+        return out
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spans: bool = False) -> PieceEncoder:
@@ -207,12 +273,11 @@ def vocabulary_size(path: str) -> int:
 
 def encode_packed(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    return [b"".join(values) for _, values in encoder(path).encode(texts)]
+    return encoder(path).packed(texts)
 
 
 def encode_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    found = encoder(path).encode(texts)
-    return [np.frombuffer(b"".join(values), dtype="<u4") for _, values in found]
+    return [np.frombuffer(value, dtype="<u4") for value in encode_packed(texts, path)]
 
 
 def encode_spans(texts: list[str], path: str) -> list[np.ndarray]:
